@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stepforge.llm import license_rules, source_mix
 from stepforge.llm.common import table
 
 
@@ -14,6 +15,21 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "quality.*")
 
 
+def op8_license_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_rules.license_rules(docs).select(
+        "doc_id",
+        F.size("licence.sequence").cast("long").alias("n_known"),
+        F.array_join("licence.sequence", " ").alias("sequence"),
+        F.array_join("licence.matched", " ").alias("licences"),
+    )
+
+
+def op10_source_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return source_mix.source_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def vocabulary(name: str) -> str:
     """Where the public vocabulary ``name`` is."""
     import public_tokenizers
@@ -21,5 +37,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op8_license_rules": op8_license_rules,
+    "op10_source_mix": op10_source_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_license_rules": license_rules.oracle_sql(),
+    "op10_source_mix": source_mix.oracle_sql(),
+}
