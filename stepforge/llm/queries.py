@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat_format, html_text, lexical_packing, license_rules, source_mix
+from stepforge.llm import chat_format, circulant_minhash, html_text, lexical_packing, license_rules, source_mix
 from stepforge.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op3_chat_format(spark, sf_dir):
     return chat_format.digests(chat_format.read_back(chat_format.chat_format(rows.union(two))))
 
 
+def op5_circulant_minhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return circulant_minhash.near_duplicates(docs, width=3, percent=85)
+
+
 def op6_lexical_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = lexical_packing.lexical_packing(docs, vocabulary("word_bpe_49k.json"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_extract_text": op1_extract_text,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op6_lexical_packing": op6_lexical_packing,
     "op8_license_rules": op8_license_rules,
     "op10_source_mix": op10_source_mix,

@@ -21,7 +21,7 @@ PERIOD = 1 << 31
 #: Parts of a source's shuffled order; running totals are taken in two levels.
 ORDER_BUCKETS = 4096
 #: Slots that are ranked together; ranks are taken in two levels.
-SLOT_CHUNK = 65536
+SLOT_CHUNK = 4096
 #: Bins that hold the sources' stretches of the cumulative quotas.
 QUOTA_BINS = 1024
 
