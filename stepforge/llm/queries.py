@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat_format, circulant_minhash, html_text, lexical_packing, license_rules, source_mix
+from stepforge.llm import chat_format, circulant_minhash, html_text, lexical_packing, license_rules, repeated_passages, source_mix
 from stepforge.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op8_license_rules(spark, sf_dir):
     )
 
 
+def op9_repeated_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_passages.remove_repeats(docs, window=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return source_mix.source_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -70,6 +75,7 @@ QUERIES = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_lexical_packing": op6_lexical_packing,
     "op8_license_rules": op8_license_rules,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
