@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat_format, circulant_minhash, html_text, lexical_packing, license_rules, repeated_passages, source_mix
+from stepforge.llm import chat_format, circulant_minhash, cover_tree, html_text, lexical_packing, license_rules, repeated_passages, source_mix
 from stepforge.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_extract_text(spark, sf_dir):
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_cover_tree(spark, sf_dir):
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 def op3_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     two = spark.range(2).select(
@@ -70,6 +74,7 @@ def vocabulary(name: str) -> str:
 
 QUERIES = {
     "op1_extract_text": op1_extract_text,
+    "op2_cover_tree": op2_cover_tree,
     "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
     "op5_circulant_minhash": op5_circulant_minhash,
