@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepforge.llm import chat_format, circulant_minhash, cover_tree, html_text, lexical_packing, license_rules, repeated_passages, source_mix
+from stepforge.llm import chat_format, circulant_minhash, cover_tree, html_text, lexical_packing, license_rules, line_dedup, repeated_passages, source_mix
 from stepforge.llm.common import table
 
 
@@ -45,6 +45,13 @@ def op6_lexical_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs, t=2, min_chars=16).select(
+        "doc_id", "n_lines", "n_equal", "n_near", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op8_license_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_rules.license_rules(docs).select(
@@ -79,6 +86,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_lexical_packing": op6_lexical_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_license_rules": op8_license_rules,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_source_mix": op10_source_mix,
