@@ -12,6 +12,8 @@ from stepforge.llm import circulant_minhash, lexical_packing, line_dedup, qualit
 from stepforge.llm.common import Scratch, table
 from stepforge.llm.queries import vocabulary
 
+#: Code points of the shortest line that is compared.
+MIN_LINE = 16
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,10 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one, exactly or within two edits.
 
-    A document that loses every line goes; n_chars follows the new text.
+    A document of which nothing but lines too short to compare would be left
+    goes; n_chars follows the new text.
     """
-    cut = line_dedup.line_dedup(docs, t=2, min_chars=16).where("n_equal + n_near < n_lines")
-    cut = cut.select("doc_id", "kept_text")
+    cut = line_dedup.line_dedup(docs, t=2, min_chars=MIN_LINE)
+    left = F.exists(F.split("kept_text", "\n"), lambda x: F.char_length(x) >= MIN_LINE)
+    cut = cut.where(left | (F.col("n_equal") + F.col("n_near") == 0)).select("doc_id", "kept_text")
     new = docs.select("doc_id", "lang", "source").join(cut, "doc_id").withColumn("text", F.col("kept_text"))
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
