@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that define ``QUERIES`` and ``ORACLE_SQL``.
-MODULES = ("dedup",)
+MODULES = ("dedup", "shards", "audits", "ordered", "events", "texts", "pages", "lookups")
 
 
 def _collect(attribute: str) -> dict:
