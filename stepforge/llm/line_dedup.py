@@ -60,39 +60,49 @@ def within_edits(a: str, b: str, t: int) -> Column:
     first = 0
     for e in range(t + 1):
         first |= (((1 << (e + 1)) - 1) << t & mask) << (e * width)
-    x, y = F.split(F.col(a), ""), F.split(F.col(b), "")
     m, n = F.char_length(a), F.char_length(b)
     long = lambda c: F.lit(c).cast("long")
 
-    def step(state: Column, j: Column) -> Column:
+    def step(chars: Column, state: Column, j: Column) -> Column:
         same = long(0)
         for i in range(2 * t + 1):
-            hit = F.get(x, j + (i - t)) == F.get(y, j)
-            same = same.bitwiseOR(F.when(hit & (j + (i - t) < m), long(1 << i)).otherwise(long(0)))
-        before = out = None
-        for e in range(t + 1):
-            own = F.shiftright(state, e * width).bitwiseAND(long(mask))
-            new = own.bitwiseAND(same)
-            if e:
-                moved = before[0].bitwiseOR(F.shiftright(before[0], 1)).bitwiseOR(F.shiftleft(before[1], 1))
-                new = new.bitwiseOR(moved).bitwiseAND(long(mask))
-            before = own, new
-            out = new if out is None else out.bitwiseOR(F.shiftleft(new, e * width))
-        return out
+            hit = F.get(chars["x"], j + (i - t)) == F.get(chars["y"], j)
+            same = same.bitwiseOR(F.when(hit, long(1 << i)).otherwise(long(0)))
+
+        def advance(same: Column) -> Column:
+            before = out = None
+            for e in range(t + 1):
+                own = F.shiftright(state, e * width).bitwiseAND(long(mask))
+                new = own.bitwiseAND(same)
+                if e:
+                    moved = before[0].bitwiseOR(F.shiftright(before[0], 1)).bitwiseOR(F.shiftleft(before[1], 1))
+                    new = new.bitwiseOR(moved).bitwiseAND(long(mask))
+                before = own, new
+                out = new if out is None else out.bitwiseOR(F.shiftleft(new, e * width))
+            return out
+
+        return _let(same, advance)
 
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(places, long(first), step)
+    chars = F.struct(F.split(F.col(a), "").alias("x"), F.split(F.col(b), "").alias("y"))
+    last = _let(chars, lambda c: F.aggregate(places, long(first), lambda state, j: step(c, state, j)))
     at = m - n + t
     reached = F.getbit(last, F.lit(t * width) + F.greatest(F.lit(0), F.least(at, F.lit(2 * t))))
-    return (F.abs(m - n) <= t) & (reached == 1)
+    return F.when(F.abs(m - n) <= t, reached == 1).otherwise(F.lit(False))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, place, line`` of the lines that take part; docs may have places to leave out, ``gone``."""
-    lines = docs.select("*", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.char_length("line") >= min_chars)
+    """``doc_id, place, line, length`` of the lines that take part; docs may have places to leave out, ``gone``."""
+    measured = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
+    lines = docs.select("*", F.posexplode(measured).alias("place", "l")).where(F.col("l.length") >= min_chars)
     if "gone" in docs.columns:
         lines = lines.where(~F.coalesce(F.array_contains("gone", F.col("place")), F.lit(False)))
-    return lines.select("doc_id", "place", "line")
+    return lines.select("doc_id", "place", "l.line", "l.length")
 
 
 def repeated_lines(texts: DataFrame, min_chars: int) -> DataFrame:
@@ -103,9 +113,13 @@ def repeated_lines(texts: DataFrame, min_chars: int) -> DataFrame:
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def near_pairs(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
-    """``doc_id, place`` of lines within ``t`` edits of an earlier line; docs: ``doc_id, text, gone``."""
-    lines = _lines(docs, min_chars).withColumn("length", F.char_length("line"))
+def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int) -> DataFrame:
+    """``doc_id, place`` of lines within ``t`` edits of an earlier line.
+
+    texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. The
+    joins keep the names and columns of ``texts``, so that all of them read one exchange.
+    """
+    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars)
     keyed = lambda f, d, p: lines.select(F.explode(f(F.col("line"), F.col("length"), t)).alias("key"), F.col("doc_id").alias(d), F.col("place").alias(p), "length")
     probe = keyed(probe_keys, "a", "i").withColumnRenamed("length", "own")
     index = keyed(index_keys, "b", "j").withColumnRenamed("length", "other")
@@ -113,8 +127,8 @@ def near_pairs(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
     found = probe.join(index, "key").where((F.col("own") > F.col("other")) | (mine > its)).where((mine != its) & (F.col("own") - F.col("other") <= t))
     pairs = found.select("a", "i", "b", "j").distinct()
     line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
-    left = pairs.join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "i", "b", "j", line("i").alias("x"))
-    both = left.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "i", "b", "j", "x", line("j").alias("y"))
+    left = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), "i", "b", "j", line("i").alias("x"))
+    both = left.withColumnRenamed("b", "doc_id").join(texts, "doc_id").select("a", "i", F.col("doc_id").alias("b"), "j", "x", line("j").alias("y"))
     later = F.greatest(mine, its)
     return both.where(within_edits("x", "y", t)).select(later["d"].alias("doc_id"), later["p"].alias("place")).distinct()
 
@@ -137,13 +151,14 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     rows, and the texts once, by doc_id: both lookups of the verification and
     the result reuse that exchange.
     """
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    gone = repeated_lines(texts.where("doc_id is not null"), min_chars)
-    marked = texts.join(gone, "doc_id", "left")
-    near = near_pairs(marked.where("doc_id is not null"), t, min_chars).groupBy("doc_id").agg(F.collect_list("place").alias("near"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = every.where("doc_id is not null")
+    gone = repeated_lines(texts, min_chars)
+    near = near_pairs(texts, gone, t, min_chars).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
     none = F.array().cast("array<int>")
-    out = marked.join(near, "doc_id", "left").withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})
-    out = out.withColumn("near", F.array_except("near", "gone"))
+    out = texts.join(gone, "doc_id", "left").join(near, "doc_id", "left")
+    out = out.withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})
+    out = out.union(every.where("doc_id is null").withColumns({"gone": none, "near": none}))
     drop = F.concat("gone", "near")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, n: ~F.array_contains(drop, n))
