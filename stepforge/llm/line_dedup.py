@@ -99,7 +99,7 @@ def _let(value: Column, use) -> Column:
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, place, line, length`` of the lines that take part; docs may have places to leave out, ``gone``."""
     measured = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
-    lines = docs.select("*", F.posexplode(measured).alias("place", "l")).where(F.col("l.length") >= min_chars)
+    lines = docs.select("*", F.posexplode_outer(measured).alias("place", "l")).where(F.col("l.length") >= min_chars)
     if "gone" in docs.columns:
         lines = lines.where(~F.coalesce(F.array_contains("gone", F.col("place")), F.lit(False)))
     return lines.select("doc_id", "place", "l.line", "l.length")
@@ -151,7 +151,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     rows, and the texts once, by doc_id: both lookups of the verification and
     the result reuse that exchange.
     """
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
+    every = docs.select(own, F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")
     gone = repeated_lines(texts, min_chars)
     near = near_pairs(texts, gone, t, min_chars).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
