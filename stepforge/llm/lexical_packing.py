@@ -11,6 +11,9 @@ is cut into powers of two.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,63 +24,69 @@ from pyspark.sql import functions as F
 
 from stepforge.llm.common import WORD_PATTERN, Scratch
 
-#: Words and word parts whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 500_000
+#: Units (or words) whose ids a worker remembers before it starts anew.
+CACHED_WORDS = 700_000
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, by weight; neighbours that are ranked at once.
 QUERY_TERMS, RANKED = 24, 32
 
 
 class WordTokens:
-    """Token ids of a text, word by word, as the ``tokenizers`` library gives them.
+    """Token ids of a text, as the ``tokenizers`` library gives them.
 
-    The vocabulary drops white space and no token spans it, so the ids of a
-    text are those of its words. Words of plain Latin letters, digits and ASCII
-    signs go straight to the library's BPE model; all others, and special
-    tokens, take its whole pipeline.
+    Texts of plain Latin letters, digits, ASCII signs and white space are cut
+    into the vocabulary's units here and go to the library's BPE model unit by
+    unit, each one once. Normal forms and special tokens don't occur in them.
+    All other texts go word by word through the library's whole pipeline; its
+    tokens never span white space.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.units = regex.compile(split).findall
-        self.words = regex.compile(WORD_PATTERN).findall
-        self.plain = regex.compile(r"(?:(?!<\|)[\x21-\x7EÀ-įı-ſ])+").fullmatch
+        # the same pattern for plain texts, with their letters and digits spelled out
+        plain = [chr(c) for c in range(0x21, 0x180) if (c < 0x7F or c >= 0xC0) and c != 0x130]
+        letters, digits = ("".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k) for k in "LN")
+        for name, own in (("[^\\s\\p{L}\\p{N}]", f"[^\\s{letters}{digits}]"), ("[\\p{L}]", f"[{letters}]"), ("[\\p{N}]", f"[{digits}]")):
+            split = split.replace(name, own)
+        if "\\p" in split:
+            raise ValueError("the vocabulary cuts texts in another way than this class knows")
+        self.units = re.compile(split).findall
+        self.plain = re.compile(f"[\x09-\x0D\x20{''.join(map(re.escape, plain))}]*").fullmatch
+        self.words = re.compile(WORD_PATTERN).findall
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = str.maketrans({b: chr(256 + i) for i, b in enumerate(hidden)})
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, unit: str) -> bytes:
-        if (out := self.parts.get(unit)) is None:
-            if len(self.parts) >= CACHED_WORDS:
-                self.parts.clear()
-            found = self.model.tokenize(unit.encode().decode("latin-1").translate(self.bytes))
-            out = self.parts[unit] = np.array([t.id for t in found], self.dtype).tobytes()
-        return out
+        self.others: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.bytes)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.plain(word):
-            return b"".join(map(self._part, self.units(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.dtype.char, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        words = self.words(text)
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(words)
-            for w in new:
-                self.known[w] = self._word(w)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
+        if "<|" not in text and self.plain(text):
+            parts, known, make = self.units(text.lower()), self.known, self._unit
+        else:
+            parts, known, make = self.words(text), self.others, self._word
+        try:
+            found = b"".join(map(known.__getitem__, parts))
+        except KeyError:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            for p in set(parts).difference(known):
+                known[p] = make(p)
+            found = b"".join(map(known.__getitem__, parts))
+        return np.frombuffer(found, self.dtype)
 
 
 UNIT = "unit long, doc_id long, start long, length long, doc_tokens long, key1 int, key2 int, ids binary"
