@@ -42,7 +42,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], "file_path string, line_no int, raw string")
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     lines = F.split("value", "\r\n|\r|\n")
     out = whole.select("file_path", F.posexplode(lines).alias("pos", "raw"))
     return out.select("file_path", (F.col("pos") + 1).alias("line_no"), "raw")
