@@ -145,8 +145,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     shift = 0 if own else len(left)
     for i, s in enumerate(left):
         at = np.searchsorted(distinct, s)
-        at = at[(at < len(distinct))]
-        at = at[np.isin(distinct[at], s, assume_unique=True)]
+        at = at[distinct[np.minimum(at, len(distinct) - 1)] == s]
         starts, lengths = first[at], ends[at] - first[at]
         total = int(lengths.sum())
         if not total:
