@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters that are counted to tell apart lines with a segment in common.
+LETTERS = "etaonirshldu"
+
+
 def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment ``i`` (from 0) of a line; the last ones are the longer ones."""
     base, longer = F.floor(length / (t + 1)).cast("int"), (length % (t + 1)).cast("int")
@@ -60,7 +64,6 @@ def within_edits(a: str, b: str, t: int) -> Column:
     first = 0
     for e in range(t + 1):
         first |= (((1 << (e + 1)) - 1) << t & mask) << (e * width)
-    m, n = F.char_length(a), F.char_length(b)
     long = lambda c: F.lit(c).cast("long")
 
     def step(chars: Column, state: Column, j: Column) -> Column:
@@ -83,12 +86,32 @@ def within_edits(a: str, b: str, t: int) -> Column:
 
         return _let(same, advance)
 
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    chars = F.struct(F.split(F.col(a), "").alias("x"), F.split(F.col(b), "").alias("y"))
-    last = _let(chars, lambda c: F.aggregate(places, long(first), lambda state, j: step(c, state, j)))
-    at = m - n + t
-    reached = F.getbit(last, F.lit(t * width) + F.greatest(F.lit(0), F.least(at, F.lit(2 * t))))
-    return F.when(F.abs(m - n) <= t, reached == 1).otherwise(F.lit(False))
+    def run(chars: Column) -> Column:
+        m, n = F.size(chars["x"]), F.size(chars["y"])
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        last = F.aggregate(places, long(first), lambda state, j: step(chars, state, j))
+        at = F.greatest(F.lit(0), F.least(m - n + t, F.lit(2 * t)))
+        return F.getbit(last, F.lit(t * width) + at) == 1
+
+    both = F.struct(*[F.array_remove(F.split(F.col(c), ""), "").alias(k) for c, k in ((a, "x"), (b, "y"))])
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= t
+    return F.when(near, _let(both, lambda c: _trimmed(c, run))).otherwise(F.lit(False))
+
+
+def _trimmed(chars: Column, use) -> Column:
+    """``use`` of two arrays of characters without what they begin and end with in common."""
+    x, y = chars["x"], chars["y"]
+    shorter = F.least(F.size(x), F.size(y))
+
+    def alike(u: Column, v: Column) -> Column:
+        at = F.array_position(F.zip_with(u, v, lambda i, j: i.eqNullSafe(j)), False).cast("int")
+        return F.when(at == 0, shorter).otherwise(at - 1)
+
+    def inner(p: Column, q: Column) -> Column:
+        cut = lambda c: F.slice(c, p + 1, F.size(c) - p - q)
+        return _let(F.struct(cut(x).alias("x"), cut(y).alias("y")), use)
+
+    return _let(alike(x, y), lambda p: _let(F.least(alike(F.reverse(x), F.reverse(y)), shorter - p), lambda q: inner(p, q)))
 
 
 def _let(value: Column, use) -> Column:
@@ -96,6 +119,28 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def letter_counts(line: str) -> Column:
+    """How often each of LETTERS occurs, modulo 32, side by side in one integer."""
+    count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), 5 * i))
+    return out
+
+
+def letters_allow(a: str, b: str, difference: Column, t: int) -> Column:
+    """Whether ``t`` edits can turn letter counts ``a`` into ``b``, for lengths that differ by ``difference``.
+
+    An insertion or deletion changes one count by one, a substitution two; the
+    difference of the lengths takes as many insertions.
+    """
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * i).bitwiseAND(F.lit(31)))
+        total = total + F.least(d, F.lit(32) - d)
+    return total <= 2 * t - difference
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, place, line, length`` of the lines that take part; docs may have places to leave out, ``gone``."""
     measured = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
@@ -119,12 +164,12 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int) -> Dat
     texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. The
     joins keep the names and columns of ``texts``, so that all of them read one exchange.
     """
-    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars)
-    keyed = lambda f, d, p: lines.select(F.explode(f(F.col("line"), F.col("length"), t)).alias("key"), F.col("doc_id").alias(d), F.col("place").alias(p), "length")
-    probe = keyed(probe_keys, "a", "i").withColumnRenamed("length", "own")
-    index = keyed(index_keys, "b", "j").withColumnRenamed("length", "other")
+    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars).withColumn("letters", letter_counts("line"))
+    keyed = lambda f, *names: lines.select(F.explode(f(F.col("line"), F.col("length"), t)), "doc_id", "place", "length", "letters").toDF("key", *names)
+    probe, index = keyed(probe_keys, "a", "i", "own", "own_letters"), keyed(index_keys, "b", "j", "other", "other_letters")
     mine, its = F.struct(F.col("a").alias("d"), F.col("i").alias("p")), F.struct(F.col("b").alias("d"), F.col("j").alias("p"))
-    found = probe.join(index, "key").where((F.col("own") > F.col("other")) | (mine > its)).where((mine != its) & (F.col("own") - F.col("other") <= t))
+    longer = F.col("own") - F.col("other")
+    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own_letters", "other_letters", longer, t))
     pairs = found.select("a", "i", "b", "j").distinct()
     line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
     left = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), "i", "b", "j", line("i").alias("x"))
