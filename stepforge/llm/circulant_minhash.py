@@ -171,7 +171,8 @@ def verified_links(texts: DataFrame, clusters: DataFrame, width: int, percent: i
     dealt = clusters.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = dealt.withColumn("pair", F.explode(pairs))
-    sent = texts.join(dealt, texts.doc_id == dealt.node).select("component", "pair.i", "pair.j", "own", "doc_id", "text")
+    # the same join at every size: with few clusters a broadcast would do, but the plan is not to change as they grow
+    sent = texts.hint("merge").join(dealt, texts.doc_id == dealt.node).select("component", "pair.i", "pair.j", "own", "doc_id", "text")
     group = ["component", "i", "j"]
     sent = sent.repartition(*group).sortWithinPartitions(*group, "own", "doc_id")
 
