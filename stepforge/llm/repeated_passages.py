@@ -147,12 +147,14 @@ def _removed(texts: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame
     copies = scratch.write(copies)
     halves = long.join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("halves", "places")).alias("x"))
     halves = halves.select("doc_id", F.col("x.halves").alias("half"), F.col("x.places").alias("place"))
-    repeated = halves.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half")
+    # written, so that the joins see plain tables and Spark can split a hot half or window
+    repeated = scratch.write(halves.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half"))
     survivors = halves.join(repeated, "half").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     around = scratch.write(texts.dropDuplicates(["doc_id"]).join(survivors, "doc_id"))
     windows = _windows(around, window)
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    again = windows.join(earliest.select("h1", "h2", "low"), ["h1", "h2"]).where("doc_id > low")
+    earliest = scratch.write(earliest.select("h1", "h2", "low"))
+    again = windows.join(earliest, ["h1", "h2"]).where("doc_id > low")
     again = again.groupBy("doc_id").agg(F.collect_list("place").alias("removed"))
     return sketch, copies, around.drop("places").join(again, "doc_id")
 
