@@ -14,40 +14,42 @@ from pyspark.sql import functions as F
 
 
 #: Letters that are counted to tell apart lines with a segment in common.
-LETTERS = "etaonirshldu"
+LETTERS = "etaonr"
 
 
-def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0) of a line; the last ones are the longer ones."""
-    base, longer = F.floor(length / (t + 1)).cast("int"), (length % (t + 1)).cast("int")
-    ahead = F.greatest(F.lit(0), F.lit(i) - (F.lit(t + 1) - longer))
-    return F.lit(i) * base + ahead + 1, base + F.when(F.lit(i) >= F.lit(t + 1) - longer, 1).otherwise(0)
+def _segments(length: Column, t: int) -> dict[str, Column]:
+    """Start (from 1) and length of each segment of lines of ``length - d``, d = 0..t; the last ones are the longer ones.
+
+    They are columns of their own, which keeps the expressions over them small
+    enough for the JVM to compile.
+    """
+    out = {}
+    for d in range(t + 1):
+        base, longer = F.floor((length - d) / (t + 1)).cast("int"), F.pmod(length - d, F.lit(t + 1)).cast("int")
+        for i in range(t + 1):
+            ahead = F.greatest(F.lit(0), F.lit(i - t - 1) + longer)
+            out[f"start_{d}_{i}"] = F.lit(i) * base + ahead + 1
+            out[f"size_{d}_{i}"] = base + (F.lit(i - t - 1) + longer >= 0).cast("int")
+    return out
 
 
-def index_keys(line: Column, length: Column, t: int) -> Column:
-    keys = []
-    for i in range(t + 1):
-        start, size = _segment(length, i, t)
-        keys.append(F.xxhash64(length, F.lit(i), F.substr(line, start, size)))
-    return F.array(*keys)
+def _key(d: int, i: int, offset: int) -> Column:
+    return F.xxhash64(F.col("length") - d, F.lit(i), F.substring("line", F.col(f"start_{d}_{i}") + offset, F.col(f"size_{d}_{i}")))
 
 
-def probe_keys(line: Column, length: Column, t: int) -> Column:
+def index_keys(t: int) -> Column:
+    return F.array(*[_key(0, i, 0) for i in range(t + 1)])
+
+
+def probe_keys(t: int) -> Column:
     """Keys of the substrings that a segment of a line no longer than this one can match.
 
     For a difference d of the lengths and segment i, a match with at most i
     edits to its left and t - i to its right leaves these offsets only.
+    Substrings that would reach over an end come out short and match nothing.
     """
-    keys = []
-    for d in range(t + 1):
-        other = length - d
-        for i in range(t + 1):
-            start, size = _segment(other, i, t)
-            for offset in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                at = start + offset
-                inside = (at >= 1) & (at + size - 1 <= length)
-                keys.append(F.when(inside, F.xxhash64(other, F.lit(i), F.substr(line, at, size))))
-    return F.array_compact(F.array(*keys))
+    every = [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    return F.array(*[_key(*x) for x in every])
 
 
 def within_edits(a: str, b: str, t: int) -> Column:
@@ -164,12 +166,14 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int) -> Dat
     texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. The
     joins keep the names and columns of ``texts``, so that all of them read one exchange.
     """
-    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars).withColumn("letters", letter_counts("line"))
-    keyed = lambda f, *names: lines.select(F.explode(f(F.col("line"), F.col("length"), t)), "doc_id", "place", "length", "letters").toDF("key", *names)
-    probe, index = keyed(probe_keys, "a", "i", "own", "own_letters"), keyed(index_keys, "b", "j", "other", "other_letters")
+    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars).withColumns(_segments(F.col("length"), t))
+    # length and letter counts in one integer, for narrow rows
+    lines = lines.withColumn("marks", F.shiftleft(F.col("length").cast("long"), 32).bitwiseOR(letter_counts("line")))
+    keyed = lambda keys, *names: lines.select(F.explode(keys), "doc_id", "place", "marks").toDF("key", *names)
+    probe, index = keyed(probe_keys(t), "a", "i", "own"), keyed(index_keys(t), "b", "j", "other")
     mine, its = F.struct(F.col("a").alias("d"), F.col("i").alias("p")), F.struct(F.col("b").alias("d"), F.col("j").alias("p"))
-    longer = F.col("own") - F.col("other")
-    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own_letters", "other_letters", longer, t))
+    longer = F.shiftright("own", 32) - F.shiftright("other", 32)
+    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own", "other", longer, t))
     pairs = found.select("a", "i", "b", "j").distinct()
     line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
     left = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), "i", "b", "j", line("i").alias("x"))
