@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 #: Letters that are counted to tell apart lines with a segment in common.
-LETTERS = "etaonr"
+LETTERS = "etaonirshldu"
 
 
 def _segments(length: Column, t: int) -> dict[str, Column]:
@@ -122,11 +122,11 @@ def _let(value: Column, use) -> Column:
 
 
 def letter_counts(line: str) -> Column:
-    """How often each of LETTERS occurs, modulo 32, side by side in one integer."""
+    """How often each of LETTERS occurs, modulo 32, side by side in the upper 60 bits of an integer."""
     count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), 5 * i))
+        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), 4 + 5 * i))
     return out
 
 
@@ -138,7 +138,7 @@ def letters_allow(a: str, b: str, difference: Column, t: int) -> Column:
     """
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * i).bitwiseAND(F.lit(31)))
+        d = F.abs(F.shiftright(a, 4 + 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 4 + 5 * i).bitwiseAND(F.lit(31)))
         total = total + F.least(d, F.lit(32) - d)
     return total <= 2 * t - difference
 
@@ -167,12 +167,13 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int) -> Dat
     joins keep the names and columns of ``texts``, so that all of them read one exchange.
     """
     lines = _lines(texts.join(gone, "doc_id", "left"), min_chars).withColumns(_segments(F.col("length"), t))
-    # length and letter counts in one integer, for narrow rows
-    lines = lines.withColumn("marks", F.shiftleft(F.col("length").cast("long"), 32).bitwiseOR(letter_counts("line")))
+    # the length modulo 16 and letter counts in one integer, for narrow rows; keys are equal only if lengths differ by 0..t
+    lines = lines.withColumn("marks", letter_counts("line").bitwiseOR(F.pmod("length", F.lit(16)).cast("long")))
     keyed = lambda keys, *names: lines.select(F.explode(keys), "doc_id", "place", "marks").toDF("key", *names)
     probe, index = keyed(probe_keys(t), "a", "i", "own"), keyed(index_keys(t), "b", "j", "other")
     mine, its = F.struct(F.col("a").alias("d"), F.col("i").alias("p")), F.struct(F.col("b").alias("d"), F.col("j").alias("p"))
-    longer = F.shiftright("own", 32) - F.shiftright("other", 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(15))
+    longer = F.pmod(low("own") - low("other"), F.lit(16))
     found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own", "other", longer, t))
     pairs = found.select("a", "i", "b", "j").distinct()
     line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
