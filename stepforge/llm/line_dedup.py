@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.llm.common import WORD_PATTERN
 
 #: Letters that are counted to tell apart lines with a segment in common.
 LETTERS = "etaonirshldu"
@@ -28,17 +29,29 @@ def _segments(length: Column, t: int) -> dict[str, Column]:
         base, longer = F.floor((length - d) / (t + 1)).cast("int"), F.pmod(length - d, F.lit(t + 1)).cast("int")
         for i in range(t + 1):
             ahead = F.greatest(F.lit(0), F.lit(i - t - 1) + longer)
-            out[f"start_{d}_{i}"] = F.lit(i) * base + ahead + 1
-            out[f"size_{d}_{i}"] = base + (F.lit(i - t - 1) + longer >= 0).cast("int")
+            out[f"start_{t}_{d}_{i}"] = F.lit(i) * base + ahead + 1
+            out[f"size_{t}_{d}_{i}"] = base + (F.lit(i - t - 1) + longer >= 0).cast("int")
     return out
 
 
-def _key(d: int, i: int, offset: int) -> Column:
-    return F.xxhash64(F.col("length") - d, F.lit(i), F.substring("line", F.col(f"start_{d}_{i}") + offset, F.col(f"size_{d}_{i}")))
+def _key(t: int, d: int, i: int, offset: int) -> Column:
+    return F.xxhash64(F.col("length") - d, F.lit(i), F.substring("line", F.col(f"start_{t}_{d}_{i}") + offset, F.col(f"size_{t}_{d}_{i}")))
+
+
+def edit_classes(t: int, min_chars: int, short: bool) -> list[tuple[int, int, int | None]]:
+    """``edits, least, most``: how many edits the shorter line of a pair allows, by its length.
+
+    Lines of ``min_chars`` allow t. With ``short``, shorter ones allow
+    fewer, so that the share of edits stays the same.
+    """
+    out: list[tuple[int, int, int | None]] = [(t, min_chars, None)]
+    for e in range(t - 1, 0, -1) if short else ():
+        out.append((e, max(e + 1, -(-e * min_chars // t)), out[-1][1] - 1))
+    return out
 
 
 def index_keys(t: int) -> Column:
-    return F.array(*[_key(0, i, 0) for i in range(t + 1)])
+    return F.array(*[_key(t, 0, i, 0) for i in range(t + 1)])
 
 
 def probe_keys(t: int) -> Column:
@@ -49,7 +62,15 @@ def probe_keys(t: int) -> Column:
     Substrings that would reach over an end come out short and match nothing.
     """
     every = [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
-    return F.array(*[_key(*x) for x in every])
+    return F.array(*[_key(t, *x) for x in every])
+
+
+def _by_class(classes: list[tuple[int, int, int | None]], keys, beyond: int) -> Column:
+    """The keys of every class that a line's length, less at most ``beyond`` edits of the class, lies in."""
+    none = F.array().cast("array<bigint>")
+    within = lambda e, a, b: F.col("length") >= a if b is None else F.col("length").between(a, b + beyond * e)
+    parts = [F.when(within(e, a, b), keys(e)).otherwise(none) for e, a, b in classes]
+    return keys(classes[0][0]) if len(classes) == 1 else F.concat(*parts)
 
 
 def within_edits(a: str, b: str, t: int) -> Column:
@@ -130,7 +151,7 @@ def letter_counts(line: str) -> Column:
     return out
 
 
-def letters_allow(a: str, b: str, difference: Column, t: int) -> Column:
+def letters_allow(a: str, b: str, difference: Column, t: int | Column) -> Column:
     """Whether ``t`` edits can turn letter counts ``a`` into ``b``, for lengths that differ by ``difference``.
 
     An insertion or deletion changes one count by one, a substitution two; the
@@ -143,54 +164,70 @@ def letters_allow(a: str, b: str, difference: Column, t: int) -> Column:
     return total <= 2 * t - difference
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, place, line, length`` of the lines that take part; docs may have places to leave out, ``gone``."""
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
+    """``doc_id, place, line, length`` of the lines that take part; docs may have places to leave out, ``gone``.
+
+    With ``short``, shorter lines take part too unless they are blank.
+    """
     measured = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.char_length(x).alias("length")))
-    lines = docs.select("*", F.posexplode_outer(measured).alias("place", "l")).where(F.col("l.length") >= min_chars)
+    takes_part = F.col("l.length") >= min_chars
+    if short:
+        takes_part = takes_part | F.col("l.line").rlike(WORD_PATTERN)
+    lines = docs.select("*", F.posexplode_outer(measured).alias("place", "l")).where(takes_part)
     if "gone" in docs.columns:
         lines = lines.where(~F.coalesce(F.array_contains("gone", F.col("place")), F.lit(False)))
     return lines.select("doc_id", "place", "l.line", "l.length")
 
 
-def repeated_lines(texts: DataFrame, min_chars: int) -> DataFrame:
+def repeated_lines(texts: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """``doc_id, gone``: places of lines that equal an earlier line (128-bit hashes; the text doesn't move)."""
-    lines = _lines(texts, min_chars).select("doc_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = _lines(texts, min_chars, short).select("doc_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = lines.join(first, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int) -> DataFrame:
-    """``doc_id, place`` of lines within ``t`` edits of an earlier line.
+def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short: bool = False) -> DataFrame:
+    """``doc_id, place`` of lines within ``t`` edits, or as many as ``edit_classes`` allows, of an earlier line.
 
     texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. The
     joins keep the names and columns of ``texts``, so that all of them read one exchange.
     """
-    lines = _lines(texts.join(gone, "doc_id", "left"), min_chars).withColumns(_segments(F.col("length"), t))
-    # the length modulo 16 and letter counts in one integer, for narrow rows; keys are equal only if lengths differ by 0..t
-    lines = lines.withColumn("marks", letter_counts("line").bitwiseOR(F.pmod("length", F.lit(16)).cast("long")))
+    classes = edit_classes(t, min_chars, short)
+    lines = _lines(texts.join(gone, "doc_id", "left"), classes[-1][1])
+    lines = lines.withColumns({k: v for e, _, _ in classes for k, v in _segments(F.col("length"), e).items()})
+    # the length modulo 8, whether it allows t edits, and letter counts in one integer, for narrow rows; keys are equal only if lengths differ by 0..t
+    low_bits = F.pmod("length", F.lit(8)) + F.when(F.col("length") >= min_chars, 8).otherwise(0)
+    lines = lines.withColumn("marks", letter_counts("line").bitwiseOR(low_bits.cast("long")))
     keyed = lambda keys, *names: lines.select(F.explode(keys), "doc_id", "place", "marks").toDF("key", *names)
-    probe, index = keyed(probe_keys(t), "a", "i", "own"), keyed(index_keys(t), "b", "j", "other")
+    probe, index = keyed(_by_class(classes, probe_keys, 1), "a", "i", "own"), keyed(_by_class(classes, index_keys, 0), "b", "j", "other")
     mine, its = F.struct(F.col("a").alias("d"), F.col("i").alias("p")), F.struct(F.col("b").alias("d"), F.col("j").alias("p"))
-    low = lambda c: F.col(c).bitwiseAND(F.lit(15))
-    longer = F.pmod(low("own") - low("other"), F.lit(16))
-    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own", "other", longer, t))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(7))
+    longer = F.pmod(low("own") - low("other"), F.lit(8))
+    edits = t if len(classes) == 1 else F.when(F.col("other").bitwiseAND(F.lit(8)) > 0, t).otherwise(t - 1)
+    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own", "other", longer, edits))
     pairs = found.select("a", "i", "b", "j").distinct()
     line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
     left = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), "i", "b", "j", line("i").alias("x"))
     both = left.withColumnRenamed("b", "doc_id").join(texts, "doc_id").select("a", "i", F.col("doc_id").alias("b"), "j", "x", line("j").alias("y"))
-    later = F.greatest(mine, its)
-    return both.where(within_edits("x", "y", t)).select(later["d"].alias("doc_id"), later["p"].alias("place")).distinct()
+    later, shorter = F.greatest(mine, its), F.least(F.char_length("x"), F.char_length("y"))
+    near = within_edits("x", "y", t)
+    for e, least, most in classes[1:]:
+        near = F.when(shorter.between(least, most), within_edits("x", "y", e)).otherwise(near)
+    return both.where(near).select(later["d"].alias("doc_id"), later["p"].alias("place")).distinct()
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False) -> DataFrame:
     """Per document: ``doc_id, text, n_lines, n_equal, n_near, kept_text``.
 
     A line (cut at line feeds) goes if an earlier one, by doc_id and then place,
     equals it or is within ``t`` edits (insertions, deletions, substitutions of
     code points); judged on the input. Lines of fewer than ``min_chars`` code
-    points stay and are compared with nothing. kept_text: the lines that stay,
-    joined by line feeds.
+    points stay and are compared with nothing, unless ``short``: then they go
+    as well if they equal an earlier line, at any length but for blank ones, or
+    are within n * t // min_chars edits of it, where n is the length of the
+    shorter line of the two (t = 2, min_chars = 16: one edit from 8 code points
+    on). kept_text: the lines that stay, joined by line feeds.
 
     NULL text counts as empty, with one empty line. A row with a NULL doc_id
     keeps all its lines. doc_id must be unique but for identical rows, which
@@ -204,8 +241,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
     every = docs.select(own, F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")
-    gone = repeated_lines(texts, min_chars)
-    near = near_pairs(texts, gone, t, min_chars).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
+    gone = repeated_lines(texts, min_chars, short)
+    near = near_pairs(texts, gone, t, min_chars, short).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
     none = F.array().cast("array<int>")
     out = texts.join(gone, "doc_id", "left").join(near, "doc_id", "left")
     out = out.withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})

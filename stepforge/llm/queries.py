@@ -47,7 +47,7 @@ def op6_lexical_packing(spark, sf_dir):
 
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs, t=2, min_chars=16).select(
+    return line_dedup.line_dedup(docs, t=2, min_chars=16, short=True).select(
         "doc_id", "n_lines", "n_equal", "n_near", F.sha2("kept_text", 256).alias("kept_sha256")
     )
 

@@ -210,6 +210,34 @@ def test_line_dedup(spark, t):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("t", [1, 2, 3])
+def test_short_lines(spark, t):
+    rng = random.Random(10 + t)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 26))) for _ in range(40)] + ["", "  ", "x"]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randrange(8)))) for i in range(100)]
+    seen, want = [], {}
+    for i, text in rows:
+        equal = near = 0
+        kept = []
+        for line in text.split("\n"):
+            if len(line) < 16 and not line.strip(" "):
+                kept.append(line)
+            elif line in seen:
+                equal += 1
+            else:
+                close = False
+                for s in seen:
+                    k = min(t, min(len(line), len(s)) * t // 16)
+                    close = close or k > 0 and abs(len(line) - len(s)) <= k and distance(line, s) <= k
+                near += close
+                seen.append(line)
+                kept += [] if close else [line]
+        want[i] = (len(text.split("\n")), equal, near, "\n".join(kept))
+    got = line_dedup.line_dedup(frame(spark, rows), t=t, min_chars=16, short=True).collect()
+    assert {r.doc_id: (r.n_lines, r.n_equal, r.n_near, r.kept_text) for r in got} == want
+    assert sum(r.n_near for r in got) and sum(r.n_equal for r in got)
+
+
 @pytest.mark.parametrize("window", [50, 7])
 def test_repeated_passages(spark, texts, window):
     seen, want = set(), {}
