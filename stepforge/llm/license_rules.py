@@ -1,8 +1,9 @@
 """Licence scan by sentences and ordered rules (operator 8).
 
-A text is cut into sentences, each sentence is normalised (ASCII lower case,
-letters and digits, single spaces) and looked up among known licence
-sentences. The identifiers found, in order, are then matched against licence
+A text is normalised (ASCII lower case, letters and digits, single spaces) with
+its breaks kept: ends of sentences and line feeds. Known licence sentences are
+found where they begin and end at a break; within them any break may stand for a
+space, so that wrapped and indented texts and comments match too. The identifiers found, in order, are then matched against licence
 rules: the first rule whose run of identifiers occurs claims them, and later
 rules see what is left. Only DataFrame functions are used; nothing shuffles.
 """
@@ -90,6 +91,12 @@ def normalise(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(UPPER, LOWER))).strip()
 
 
+def _pattern(sentences: dict[str, str]) -> str:
+    """Known sentences between two breaks, the longest first."""
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    return r"(?<=\n)(?:" + "|".join(x.replace(" ", r"[ \n]") for x in longest) + r")(?=\n)"
+
+
 def license_rules(
     docs: DataFrame,
     text: str = "text",
@@ -102,7 +109,10 @@ def license_rules(
     sentences, in order), ``matched`` (licences of the rules that match, in rule
     order) and ``left`` (identifiers that no rule claims).
 
-    A sentence ends at ``. ! ? ; :`` before white space, or at a line feed.
+    A sentence begins and ends at ``. ! ? ; :`` before white space, at a line
+    feed, or at an end of the text, and may itself hold such breaks; of those
+    that begin at one place the longest counts, and none overlap. Signs before
+    a line's first letter or digit (comment leaders) count as white space.
     Unknown sentences between known ones do not break a rule's run. A rule
     claims every place where it occurs.
 
@@ -115,10 +125,10 @@ def license_rules(
             raise ValueError(f"sentence {name} is not in normal form or has none of the hints")
     known = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
     lowered = F.translate(F.col(text), UPPER, LOWER)
-    cut = F.split(F.regexp_replace(lowered, _END, "$1\n"), "\n")
-    ids = F.filter(
-        F.transform(cut, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))), lambda x: x.isNotNull()
-    )
+    broken = F.regexp_replace(F.regexp_replace(lowered, _END, "\n"), r"[^a-z0-9\n]+", " ")
+    broken = F.regexp_replace(F.concat(F.lit("\n"), broken, F.lit("\n")), r" ?\n[ \n]*", "\n")
+    found = F.regexp_extract_all(broken, F.lit(_pattern(sentences)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(known, F.translate(s, "\n", " ")))
     # "free software" etc. may be broken over white space in the text, so hints are looked for word by word
     maybe = lowered.rlike("|".join(sorted({h.split(" ")[0] if " " in h else h for h in hints})))
     none = F.array().cast("array<string>")

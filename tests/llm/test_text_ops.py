@@ -144,6 +144,47 @@ def test_license_rules(spark):
     assert license_rules.license_rules(df.limit(0)).count() == 0
 
 
+def test_license_rules_wrapped(spark):
+    import textwrap
+
+    apache = """Copyright 2020 Someone
+    Licensed under the Apache License, Version 2.0 (the "License");
+    you may not use this file except in compliance with the License.
+    You may obtain a copy of the License at
+
+        http://www.apache.org/licenses/LICENSE-2.0
+
+    Unless required by applicable law or agreed to in writing, software
+    distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+    See the License for the specific language governing permissions and
+    limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY. See the GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    join = lambda keys, sep: sep.join(textwrap.fill(license_rules.SENTENCES[k], 72) + "." for k in keys)
+    mit = join(("mit-grant", "mit-notice", "mit-as-is", "mit-liability"), "\n\n").replace("\n", "\r\n")
+    bsd = "All rights reserved.\n\n" + join(("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "\n\n * ")
+    comment = "\n".join(" * " + x.strip() for x in apache.split("\n"))
+    near = "xx permission is hereby granted\nReleased under the\nMIT License of old"
+    rows = [apache, comment, "# " + gpl.replace("\n", "\n# "), mit, bsd, near, "a | licence\n\nis this the\n\nLicensed under\nCC BY 4.0"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    got = {r.i: r.licence for r in license_rules.license_rules(df).collect()}
+    assert got[0].matched == got[1].matched == ["Apache-2.0"] and len(got[0].sequence) == len(got[1].sequence) == 5
+    assert got[2].matched == ["GPL-3.0-or-later"] and got[2].sequence == ["gpl-free", "gpl-hope", "gpl-copy"]
+    assert got[3].matched == ["MIT"] and got[3].left == []
+    assert got[4].matched == ["BSD-3-Clause", "LicenseRef-all-rights-reserved"] and got[4].left == []
+    assert got[5].sequence == [] and got[6].matched == ["CC-BY-4.0"]
+
+
 def test_license_rules_order(spark):
     known, rules = {"a": "licence a", "b": "licence b"}, (("AB", ("a", "b")), ("A", ("a",)))
     df = spark.createDataFrame([(1, "Licence A. other. Licence B. Licence A"), (2, "licence b; licence a! licence b")], "i int, text string")
