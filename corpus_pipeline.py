@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.llm import circulant_minhash, lexical_packing, line_dedup, quality_rules, source_mix
-from stepforge.llm.common import Scratch, table
+from stepforge.llm.common import WORD_PATTERN, Scratch, table
 from stepforge.llm.queries import vocabulary
 
-#: Code points of the shortest line that is compared.
+#: Code points of the shortest line that may differ by two edits.
 MIN_LINE = 16
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,13 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one, exactly or within two edits.
+    """Documents without the lines that repeat an earlier one, exactly or within two edits (short ones one or none).
 
-    A document of which nothing but lines too short to compare would be left
-    goes; n_chars follows the new text.
+    A document that lost lines goes if none but blank ones are left; n_chars
+    follows the new text.
     """
-    cut = line_dedup.line_dedup(docs, t=2, min_chars=MIN_LINE)
-    left = F.exists(F.split("kept_text", "\n"), lambda x: F.char_length(x) >= MIN_LINE)
+    cut = line_dedup.line_dedup(docs, t=2, min_chars=MIN_LINE, short=True)
+    left = F.col("kept_text").rlike(WORD_PATTERN)
     cut = cut.where(left | (F.col("n_equal") + F.col("n_near") == 0)).select("doc_id", "kept_text")
     new = docs.select("doc_id", "lang", "source").join(cut, "doc_id").withColumn("text", F.col("kept_text"))
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -322,6 +322,16 @@ def test_pipeline(spark, sf_dir):
     assert tokens == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
 
 
+def test_pipeline_lines_short(spark):
+    import corpus_pipeline
+
+    head = "A heading that stands over every list"
+    texts = [f"{head}\nfirst\nlist", f"{head}\nmilk\neggs", f"{head}\nmilk\n ", "milk", "\n", "an own line\nlist"]
+    rows = [(i, x, "en", "s", len(x)) for i, x in enumerate(texts)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in got} == {0: (texts[0], len(texts[0])), 1: ("milk\neggs", 9), 4: ("\n", 1), 5: ("an own line", 11)}
+
+
 def test_pipeline_empty(spark):
     import corpus_pipeline
 
