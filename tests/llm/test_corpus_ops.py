@@ -332,6 +332,17 @@ def test_pipeline_lines_short(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in got} == {0: (texts[0], len(texts[0])), 1: ("milk\neggs", 9), 4: ("\n", 1), 5: ("an own line", 11)}
 
 
+def test_pipeline_lines_ids(spark):
+    import corpus_pipeline
+
+    line = "A line that stands in every document"
+    rows = [(1, line, "en", "s", 0)] * 3 + [(2, f"{line}\nand its own", None, "t", 0)] * 2 + [(None, line, "de", "u", 0)] * 2 + [(None, None, "fr", "u", 0)]
+    got = corpus_pipeline.lines(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    want = [(1, line, "en", "s", len(line))] * 3 + [(2, "and its own", None, "t", 11)] * 2
+    want += [(None, line, "de", "u", len(line))] * 2 + [(None, "", "fr", "u", 0)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_empty(spark):
     import corpus_pipeline
 
