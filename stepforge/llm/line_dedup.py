@@ -14,28 +14,12 @@ from pyspark.sql import functions as F
 
 from stepforge.llm.common import WORD_PATTERN
 
-#: Letters that are counted to tell apart lines with a segment in common.
-LETTERS = "etaonirshldu"
-
-
-def _segments(length: Column, t: int) -> dict[str, Column]:
-    """Start (from 1) and length of each segment of lines of ``length - d``, d = 0..t; the last ones are the longer ones.
-
-    They are columns of their own, which keeps the expressions over them small
-    enough for the JVM to compile.
-    """
-    out = {}
-    for d in range(t + 1):
-        base, longer = F.floor((length - d) / (t + 1)).cast("int"), F.pmod(length - d, F.lit(t + 1)).cast("int")
-        for i in range(t + 1):
-            ahead = F.greatest(F.lit(0), F.lit(i - t - 1) + longer)
-            out[f"start_{t}_{d}_{i}"] = F.lit(i) * base + ahead + 1
-            out[f"size_{t}_{d}_{i}"] = base + (F.lit(i - t - 1) + longer >= 0).cast("int")
-    return out
-
-
-def _key(t: int, d: int, i: int, offset: int) -> Column:
-    return F.xxhash64(F.col("length") - d, F.lit(i), F.substring("line", F.col(f"start_{t}_{d}_{i}") + offset, F.col(f"size_{t}_{d}_{i}")))
+#: Signs that are counted to tell apart lines with a segment in common.
+LETTERS = "etaonirsh01"
+#: Lengths that share one cut into segments.
+LENGTHS = 8
+#: Bits of a line's marks: its length modulo 16, its edits, whether it is indexed by the key, letter counts.
+CLASS_BIT, INDEX_BIT, COUNT_BIT = 4, 7, 8
 
 
 def edit_classes(t: int, min_chars: int, short: bool) -> list[tuple[int, int, int | None]]:
@@ -50,27 +34,53 @@ def edit_classes(t: int, min_chars: int, short: bool) -> list[tuple[int, int, in
     return out
 
 
-def index_keys(t: int) -> Column:
-    return F.array(*[_key(t, 0, i, 0) for i in range(t + 1)])
+def segment_offsets(t: int, i: int) -> list[int]:
+    """How far segment i can have moved in a line longer by 0..t: at most i edits lie to its left, t - i to its right.
+
+    The last segment counts from the line's end, so it doesn't move.
+    """
+    return [0] if i == t else list(range(-min(i, t - i), min(i, 2 * t - i) + 1))
 
 
-def probe_keys(t: int) -> Column:
-    """Keys of the substrings that a segment of a line no longer than this one can match.
+def segment_keys(t: int, base: Column) -> Column:
+    """Keys of a line among those of ``base`` to ``base + LENGTHS - 1`` code points: its t + 1 segments, then what they may have moved to.
 
-    For a difference d of the lengths and segment i, a match with at most i
-    edits to its left and t - i to its right leaves these offsets only.
-    Substrings that would reach over an end come out short and match nothing.
+    Lines of these lengths are all cut at the same places, the last segment
+    being the end of the line. What the segments leave over in between is not
+    looked up, so t edits still leave one segment whole. A substring that
+    reaches over the end comes out short and matches nothing.
     """
-    every = [(d, i, o) for d in range(t + 1) for i in range(t + 1) for o in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
-    return F.array(*[_key(t, *x) for x in every])
+    size = F.floor(base / (t + 1)).cast("int")
+    start = lambda i: F.col("length") - size + 1 if i == t else F.lit(i) * size + 1
+    key = lambda i, o: F.xxhash64(F.lit(t), base, F.lit(i), F.substring("line", start(i) + o, size))
+    own = [(i, 0) for i in range(t + 1)]
+    moved = [(i, o) for i in range(t + 1) for o in segment_offsets(t, i) if o]
+    return F.array(*[key(i, o) for i, o in own + moved])
 
 
-def _by_class(classes: list[tuple[int, int, int | None]], keys, beyond: int) -> Column:
-    """The keys of every class that a line's length, less at most ``beyond`` edits of the class, lies in."""
+def line_keys(classes: list[tuple[int, int, int | None]]) -> Column:
+    """All keys of a line; the first ``edits + 1`` are those it is indexed by.
+
+    A line also probes the shorter lengths that the edits allowed there can
+    reach. A class's last group of lengths takes those left over, so that one group is enough.
+    """
     none = F.array().cast("array<bigint>")
-    within = lambda e, a, b: F.col("length") >= a if b is None else F.col("length").between(a, b + beyond * e)
-    parts = [F.when(within(e, a, b), keys(e)).otherwise(none) for e, a, b in classes]
-    return keys(classes[0][0]) if len(classes) == 1 else F.concat(*parts)
+    length = F.col("length")
+
+    def first_of(n: Column, least: int, most: int | None) -> Column:
+        group = F.floor((n - least) / LENGTHS)
+        last = None if most is None else max(0, (most - least + 1) // LENGTHS - 1)
+        return (least + LENGTHS * (group if last is None else F.least(group, F.lit(last)))).cast("int")
+
+    own, lower = [], []
+    for t, least, most in classes:
+        inside = length >= least if most is None else length.between(least, most)
+        base = first_of(length, least, most)
+        own.append(F.when(inside, segment_keys(t, base)).otherwise(none))
+        lower.append(F.when(inside & (base > least) & (length - base < t), segment_keys(t, base - LENGTHS)).otherwise(none))
+        if most is not None:
+            lower.append(F.when(length.between(most + 1, most + t), segment_keys(t, first_of(F.lit(most), least, most))).otherwise(none))
+    return F.concat(*own, *lower)
 
 
 def within_edits(a: str, b: str, t: int) -> Column:
@@ -143,11 +153,11 @@ def _let(value: Column, use) -> Column:
 
 
 def letter_counts(line: str) -> Column:
-    """How often each of LETTERS occurs, modulo 32, side by side in the upper 60 bits of an integer."""
+    """How often each of LETTERS occurs, modulo 32, side by side in the upper bits of an integer."""
     count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
     out = F.lit(0).cast("long")
     for i, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), 4 + 5 * i))
+        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), COUNT_BIT + 5 * i))
     return out
 
 
@@ -159,7 +169,8 @@ def letters_allow(a: str, b: str, difference: Column, t: int | Column) -> Column
     """
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 4 + 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 4 + 5 * i).bitwiseAND(F.lit(31)))
+        at = COUNT_BIT + 5 * i
+        d = F.abs(F.shiftright(a, at).bitwiseAND(F.lit(31)) - F.shiftright(b, at).bitwiseAND(F.lit(31)))
         total = total + F.least(d, F.lit(32) - d)
     return total <= 2 * t - difference
 
@@ -179,42 +190,60 @@ def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     return lines.select("doc_id", "place", "l.line", "l.length")
 
 
+def _order(integers: bool) -> Column:
+    """The place of a line among all, as one value: by doc_id, then place.
+
+    For integer ids it is a number, which Spark aggregates without sorting.
+    """
+    if not integers:
+        return F.struct("doc_id", "place")
+    return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("place")
+
+
 def repeated_lines(texts: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """``doc_id, gone``: places of lines that equal an earlier line (128-bit hashes; the text doesn't move)."""
+    integers = dict(texts.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
     lines = _lines(texts, min_chars, short).select("doc_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = lines.join(first, ["h1", "h2"]).where(F.struct("doc_id", "place") > F.col("first"))
+    first = lines.groupBy("h1", "h2").agg(F.min(_order(integers)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = lines.join(first.drop("n"), ["h1", "h2"]).where(_order(integers) > F.col("first"))
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
 def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short: bool = False) -> DataFrame:
     """``doc_id, place`` of lines within ``t`` edits, or as many as ``edit_classes`` allows, of an earlier line.
 
-    texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. The
-    joins keep the names and columns of ``texts``, so that all of them read one exchange.
+    texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. Lines
+    are keyed once: both sides of the join read one exchange. Of two lines with
+    a key in common, one at least must be indexed by it. The lines of the pairs
+    left are looked up once each.
     """
     classes = edit_classes(t, min_chars, short)
     lines = _lines(texts.join(gone, "doc_id", "left"), classes[-1][1])
-    lines = lines.withColumns({k: v for e, _, _ in classes for k, v in _segments(F.col("length"), e).items()})
-    # the length modulo 8, whether it allows t edits, and letter counts in one integer, for narrow rows; keys are equal only if lengths differ by 0..t
-    low_bits = F.pmod("length", F.lit(8)) + F.when(F.col("length") >= min_chars, 8).otherwise(0)
-    lines = lines.withColumn("marks", letter_counts("line").bitwiseOR(low_bits.cast("long")))
-    keyed = lambda keys, *names: lines.select(F.explode(keys), "doc_id", "place", "marks").toDF("key", *names)
-    probe, index = keyed(_by_class(classes, probe_keys, 1), "a", "i", "own"), keyed(_by_class(classes, index_keys, 0), "b", "j", "other")
-    mine, its = F.struct(F.col("a").alias("d"), F.col("i").alias("p")), F.struct(F.col("b").alias("d"), F.col("j").alias("p"))
-    low = lambda c: F.col(c).bitwiseAND(F.lit(7))
-    longer = F.pmod(low("own") - low("other"), F.lit(8))
-    edits = t if len(classes) == 1 else F.when(F.col("other").bitwiseAND(F.lit(8)) > 0, t).otherwise(t - 1)
-    found = probe.join(index, "key").where(longer.between(0, t) & ((longer > 0) | (mine > its)) & letters_allow("own", "other", longer, edits))
+    edits = F.lit(0)
+    for e, least, _ in reversed(classes):
+        edits = F.when(F.col("length") >= least, e).otherwise(edits)
+    marks = letter_counts("line").bitwiseOR((F.pmod("length", F.lit(16)) + F.shiftleft(edits, CLASS_BIT)).cast("long"))
+    keyed = lines.select("doc_id", "place", marks.alias("marks"), F.posexplode(line_keys(classes)).alias("n", "key"))
+    indexed = F.col("n") <= F.shiftright("marks", CLASS_BIT).bitwiseAND(F.lit(7))
+    keyed = keyed.select("key", "doc_id", "place", F.col("marks").bitwiseOR(F.when(indexed, F.lit(1 << INDEX_BIT)).otherwise(F.lit(0)).cast("long")).alias("marks"))
+    one, two = keyed.toDF("key", "a", "i", "own"), keyed.toDF("key", "b", "j", "other")
+    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1))
+    differ = F.abs(F.pmod(bits("own", 0, 4) - bits("other", 0, 4) + 8, F.lit(16)) - 8)
+    most = F.least(bits("own", CLASS_BIT, 3), bits("other", CLASS_BIT, 3))
+    later = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")))
+    held = bits(F.col("own").bitwiseOR(F.col("other")), INDEX_BIT, 1) == 1
+    found = one.join(two, "key").where(later & held & (differ <= most) & letters_allow("own", "other", differ, most))
     pairs = found.select("a", "i", "b", "j").distinct()
-    line = lambda p: F.element_at(F.split("text", "\n"), F.col(p) + 1)
-    left = pairs.withColumnRenamed("a", "doc_id").join(texts, "doc_id").select(F.col("doc_id").alias("a"), "i", "b", "j", line("i").alias("x"))
-    both = left.withColumnRenamed("b", "doc_id").join(texts, "doc_id").select("a", "i", F.col("doc_id").alias("b"), "j", "x", line("j").alias("y"))
-    later, shorter = F.greatest(mine, its), F.least(F.char_length("x"), F.char_length("y"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("i").alias("place")), F.struct(F.col("b").alias("doc_id"), F.col("j").alias("place")))).alias("e"))
+    ends = ends.groupBy("e.doc_id").agg(F.collect_set("e.place").alias("places"))
+    looked = texts.join(ends, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
+    looked = looked.select("doc_id", "place", F.element_at("lines", F.col("place") + 1).alias("line")).distinct()
+    both = pairs.join(looked.toDF("a", "i", "x"), ["a", "i"]).join(looked.toDF("b", "j", "y"), ["b", "j"])
+    shorter = F.least(F.char_length("x"), F.char_length("y"))
     near = within_edits("x", "y", t)
-    for e, least, most in classes[1:]:
-        near = F.when(shorter.between(least, most), within_edits("x", "y", e)).otherwise(near)
-    return both.where(near).select(later["d"].alias("doc_id"), later["p"].alias("place")).distinct()
+    for e, least, most_chars in classes[1:]:
+        near = F.when(shorter.between(least, most_chars), within_edits("x", "y", e)).otherwise(near)
+    return both.where(near).select(F.col("b").alias("doc_id"), F.col("j").alias("place")).distinct()
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False) -> DataFrame:
@@ -235,8 +264,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
 
     Repeated lines are reduced to their first place before the edit join, so a
     line in a third of all documents is one row there. What moves is narrow
-    rows, and the texts once, by doc_id: both lookups of the verification and
-    the result reuse that exchange.
+    rows, and the texts once, by doc_id: the lookup of the verification and
+    the result reuse that exchange. Distinct lines that share a segment and
+    whose letter counts allow so few edits are compared in pairs; Spark splits
+    a hot segment over tasks, but a family of m such lines makes up to m * m / 2 pairs.
     """
     own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
     every = docs.select(own, F.coalesce(F.col(text), F.lit("")).alias("text"))
