@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN
+from stepforge.llm.common import WORD_PATTERN, Scratch
 
-#: Signs that are counted to tell apart lines with a segment in common.
-LETTERS = "etaonirsh01"
+#: Signs that are counted to tell apart lines before their distance is worked out.
+LETTERS = "etaonirsldchu0123456789"
 #: Lengths that share one cut into segments.
 LENGTHS = 8
-#: Bits of a line's marks: its length modulo 16, its edits, whether it is indexed by the key, letter counts.
-CLASS_BIT, INDEX_BIT, COUNT_BIT = 4, 7, 8
+#: Bits of a line's marks: its length modulo 16, its edits, whether it is indexed by the key, parities of its words.
+CLASS_BIT, INDEX_BIT, WORD_BIT = 4, 7, 8
 
 
 def edit_classes(t: int, min_chars: int, short: bool) -> list[tuple[int, int, int | None]]:
@@ -42,29 +42,19 @@ def segment_offsets(t: int, i: int) -> list[int]:
     return [0] if i == t else list(range(-min(i, t - i), min(i, 2 * t - i) + 1))
 
 
-def segment_keys(t: int, base: Column) -> Column:
-    """Keys of a line among those of ``base`` to ``base + LENGTHS - 1`` code points: its t + 1 segments, then what they may have moved to.
+def line_keys(classes: list[tuple[int, int, int | None]]) -> Column:
+    """All keys of ``line``; the first ``edits + 1`` are those it is indexed by.
 
-    Lines of these lengths are all cut at the same places, the last segment
+    Lines of LENGTHS neighbouring lengths (a class's last group takes those
+    left over) are all cut at the same places: t + 1 segments, the last one
     being the end of the line. What the segments leave over in between is not
-    looked up, so t edits still leave one segment whole. A substring that
-    reaches over the end comes out short and matches nothing.
-    """
-    size = F.floor(base / (t + 1)).cast("int")
-    start = lambda i: F.col("length") - size + 1 if i == t else F.lit(i) * size + 1
-    key = lambda i, o: F.xxhash64(F.lit(t), base, F.lit(i), F.substring("line", start(i) + o, size))
-    own = [(i, 0) for i in range(t + 1)]
-    moved = [(i, o) for i in range(t + 1) for o in segment_offsets(t, i) if o]
-    return F.array(*[key(i, o) for i, o in own + moved])
-
-
-def line_keys(classes: list[tuple[int, int, int | None]]) -> Column:
-    """All keys of a line; the first ``edits + 1`` are those it is indexed by.
+    looked up, so t edits still leave one segment whole. A line probes its own
+    group, and shorter ones that the edits allowed there can reach. A substring
+    that reaches over the end comes out short and matches nothing.
 
-    A line also probes the shorter lengths that the edits allowed there can
-    reach. A class's last group of lengths takes those left over, so that one group is enough.
+    The keys come from a table of segments and offsets, not from an expression
+    each: expressions that long grow beyond what the JVM compiles.
     """
-    none = F.array().cast("array<bigint>")
     length = F.col("length")
 
     def first_of(n: Column, least: int, most: int | None) -> Column:
@@ -72,15 +62,28 @@ def line_keys(classes: list[tuple[int, int, int | None]]) -> Column:
         last = None if most is None else max(0, (most - least + 1) // LENGTHS - 1)
         return (least + LENGTHS * (group if last is None else F.least(group, F.lit(last)))).cast("int")
 
+    cut = lambda holds, t, base: F.when(holds, F.struct(F.lit(t).alias("t"), base.cast("int").alias("base"), F.floor(base / (t + 1)).cast("int").alias("size")))
     own, lower = [], []
     for t, least, most in classes:
         inside = length >= least if most is None else length.between(least, most)
         base = first_of(length, least, most)
-        own.append(F.when(inside, segment_keys(t, base)).otherwise(none))
-        lower.append(F.when(inside & (base > least) & (length - base < t), segment_keys(t, base - LENGTHS)).otherwise(none))
+        own.append(cut(inside, t, base))
+        lower.append(cut(inside & (base > least) & (length - base < t), t, base - LENGTHS))
         if most is not None:
-            lower.append(F.when(length.between(most + 1, most + t), segment_keys(t, first_of(F.lit(most), least, most))).otherwise(none))
-    return F.concat(*own, *lower)
+            lower.append(cut(length.between(most + 1, most + t), t, first_of(F.lit(most), least, most)))
+    cuts = F.filter(F.array(*own, *lower), lambda c: c.isNotNull())
+    place = lambda i, o: F.struct(F.lit(i).alias("i"), F.lit(o).alias("o"))
+    tables = {}
+    for t, _, _ in classes:
+        moved = [(i, o) for i in range(t + 1) for o in segment_offsets(t, i) if o]
+        tables[t] = F.array(*[place(i, o) for i, o in [(i, 0) for i in range(t + 1)] + moved])
+    table = F.create_map(*[x for t, v in tables.items() for x in (F.lit(t), v)])
+
+    def key(c: Column, s: Column) -> Column:
+        start = F.when(s["i"] == c["t"], length - c["size"]).otherwise(s["i"] * c["size"]) + s["o"] + 1
+        return F.xxhash64(c["t"], c["base"], s["i"], F.substring("line", start, c["size"]))
+
+    return F.flatten(F.transform(cuts, lambda c: F.transform(F.element_at(table, c["t"]), lambda s: key(c, s))))
 
 
 def within_edits(a: str, b: str, t: int) -> Column:
@@ -152,27 +155,22 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def letter_counts(line: str) -> Column:
-    """How often each of LETTERS occurs, modulo 32, side by side in the upper bits of an integer."""
-    count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-    out = F.lit(0).cast("long")
-    for i, c in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(count(c).cast("long").bitwiseAND(F.lit(31)), COUNT_BIT + 5 * i))
-    return out
+def letters_allow(a: str, b: str, t: Column) -> Column:
+    """Whether ``t`` edits can turn the letter counts of ``a`` into those of ``b``: a substitution changes two of them by one."""
+    count = lambda x, c: F.octet_length(x) - F.octet_length(F.replace(F.col(x), c, F.lit("")))
+    letters = F.array(*map(F.lit, LETTERS))
+    return F.aggregate(letters, F.lit(0), lambda s, c: s + F.abs(count(a, c) - count(b, c))) <= 2 * t
 
 
-def letters_allow(a: str, b: str, difference: Column, t: int | Column) -> Column:
-    """Whether ``t`` edits can turn letter counts ``a`` into ``b``, for lengths that differ by ``difference``.
+def word_parities(line: str) -> Column:
+    """For each upper bit of an integer, whether an odd number of the line's words hash to it; words are cut at single spaces."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(F.xxhash64(w), F.lit(64 - WORD_BIT)) + WORD_BIT).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(bit(w)))
 
-    An insertion or deletion changes one count by one, a substitution two; the
-    difference of the lengths takes as many insertions.
-    """
-    total = F.lit(0)
-    for i in range(len(LETTERS)):
-        at = COUNT_BIT + 5 * i
-        d = F.abs(F.shiftright(a, at).bitwiseAND(F.lit(31)) - F.shiftright(b, at).bitwiseAND(F.lit(31)))
-        total = total + F.least(d, F.lit(32) - d)
-    return total <= 2 * t - difference
+
+def words_allow(a: str, b: str, t: int | Column) -> Column:
+    """Whether ``t`` edits can turn word parities ``a`` into ``b``: an edit takes one word away and adds one, or two if a space comes or goes."""
+    return F.bit_count(F.shiftright(F.col(a).bitwiseXOR(F.col(b)), WORD_BIT).bitwiseAND(F.lit((1 << (64 - WORD_BIT)) - 1))) <= 3 * t
 
 
 def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
@@ -209,7 +207,7 @@ def repeated_lines(texts: DataFrame, min_chars: int, short: bool = False) -> Dat
     return again.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
 
 
-def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short: bool = False) -> DataFrame:
+def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short: bool, scratch: Scratch) -> DataFrame:
     """``doc_id, place`` of lines within ``t`` edits, or as many as ``edit_classes`` allows, of an earlier line.
 
     texts: ``doc_id, text``; gone: ``doc_id, gone``, places to leave out. Lines
@@ -222,8 +220,9 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short:
     edits = F.lit(0)
     for e, least, _ in reversed(classes):
         edits = F.when(F.col("length") >= least, e).otherwise(edits)
-    marks = letter_counts("line").bitwiseOR((F.pmod("length", F.lit(16)) + F.shiftleft(edits, CLASS_BIT)).cast("long"))
-    keyed = lines.select("doc_id", "place", marks.alias("marks"), F.posexplode(line_keys(classes)).alias("n", "key"))
+    marks = word_parities("line").bitwiseOR((F.pmod("length", F.lit(16)) + F.shiftleft(edits, CLASS_BIT)).cast("long"))
+    lines = lines.withColumn("marks", marks)  # before the explode, which would repeat it for every key
+    keyed = lines.select("doc_id", "place", "marks", F.posexplode(line_keys(classes)).alias("n", "key"))
     indexed = F.col("n") <= F.shiftright("marks", CLASS_BIT).bitwiseAND(F.lit(7))
     keyed = keyed.select("key", "doc_id", "place", F.col("marks").bitwiseOR(F.when(indexed, F.lit(1 << INDEX_BIT)).otherwise(F.lit(0)).cast("long")).alias("marks"))
     one, two = keyed.toDF("key", "a", "i", "own"), keyed.toDF("key", "b", "j", "other")
@@ -232,21 +231,22 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short:
     most = F.least(bits("own", CLASS_BIT, 3), bits("other", CLASS_BIT, 3))
     later = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")))
     held = bits(F.col("own").bitwiseOR(F.col("other")), INDEX_BIT, 1) == 1
-    found = one.join(two, "key").where(later & held & (differ <= most) & letters_allow("own", "other", differ, most))
-    pairs = found.select("a", "i", "b", "j").distinct()
+    found = one.join(two, "key").where(later & held & (differ <= most) & words_allow("own", "other", most))
+    pairs = scratch.write(found.select("a", "i", "b", "j").distinct())
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("i").alias("place")), F.struct(F.col("b").alias("doc_id"), F.col("j").alias("place")))).alias("e"))
     ends = ends.groupBy("e.doc_id").agg(F.collect_set("e.place").alias("places"))
     looked = texts.join(ends, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
-    looked = looked.select("doc_id", "place", F.element_at("lines", F.col("place") + 1).alias("line")).distinct()
+    looked = scratch.write(looked.select("doc_id", "place", F.element_at("lines", F.col("place") + 1).alias("line")).distinct())
     both = pairs.join(looked.toDF("a", "i", "x"), ["a", "i"]).join(looked.toDF("b", "j", "y"), ["b", "j"])
     shorter = F.least(F.char_length("x"), F.char_length("y"))
     near = within_edits("x", "y", t)
     for e, least, most_chars in classes[1:]:
         near = F.when(shorter.between(least, most_chars), within_edits("x", "y", e)).otherwise(near)
+    near = F.when(letters_allow("x", "y", F.lit(t)), near).otherwise(F.lit(False))
     return both.where(near).select(F.col("b").alias("doc_id"), F.col("j").alias("place")).distinct()
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Per document: ``doc_id, text, n_lines, n_equal, n_near, kept_text``.
 
     A line (cut at line feeds) goes if an earlier one, by doc_id and then place,
@@ -266,14 +266,15 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     line in a third of all documents is one row there. What moves is narrow
     rows, and the texts once, by doc_id: the lookup of the verification and
     the result reuse that exchange. Distinct lines that share a segment and
-    whose letter counts allow so few edits are compared in pairs; Spark splits
+    whose words allow so few edits are compared in pairs; Spark splits
     a hot segment over tasks, but a family of m such lines makes up to m * m / 2 pairs.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
     every = docs.select(own, F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = every.where("doc_id is not null")
-    gone = repeated_lines(texts, min_chars, short)
-    near = near_pairs(texts, gone, t, min_chars, short).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
+    gone = scratch.write(repeated_lines(texts, min_chars, short))
+    near = near_pairs(texts, gone, t, min_chars, short, scratch).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
     none = F.array().cast("array<int>")
     out = texts.join(gone, "doc_id", "left").join(near, "doc_id", "left")
     out = out.withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})
