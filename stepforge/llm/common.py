@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,58 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Known(dict):
+    """What ``make`` gives for each string, remembered in at most about ``most`` bytes.
+
+    When half of them are taken, what was not asked for since the last such
+    moment is forgotten, so common strings stay.
+    """
+
+    #: What an entry takes besides its key and value.
+    ENTRY = 90
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.taken, self.before = make, most // 2, 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self.taken += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+        if self.taken > self.most:
+            self.before, self.taken = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
+
+    def joined(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, parts))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str, rows: int = 512) -> Iterator[list[list]]:
+    """The values of some columns, a few rows at a time, so that texts don't stand in memory twice for whole batches.
+
+    What a task has left in its allocators goes back at the end: workers are
+    used again, for other operators too.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield [part.column(c).to_pylist() for c in columns]
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free, but kept by the allocators, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage and survive lost executors.
 

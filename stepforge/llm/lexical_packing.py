@@ -18,14 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Scratch
+from stepforge.llm.common import WORD_PATTERN, Known, Scratch, chunks
 
-#: Units (or words) whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 700_000
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, by weight; neighbours that are ranked at once.
 QUERY_TERMS, RANKED = 24, 32
@@ -36,9 +35,9 @@ class WordTokens:
 
     Texts of plain Latin letters, digits, ASCII signs and white space are cut
     into the vocabulary's units here and go to the library's BPE model unit by
-    unit, each one once. Normal forms and special tokens don't occur in them.
-    All other texts go word by word through the library's whole pipeline; its
-    tokens never span white space.
+    unit, each one once while it is remembered. Normal forms and special tokens
+    don't occur in them. All other texts go word by word through the library's
+    whole pipeline; its tokens never span white space.
     """
 
     def __init__(self, path: str):
@@ -63,8 +62,7 @@ class WordTokens:
         self.bytes = str.maketrans({b: chr(256 + i) for i, b in enumerate(hidden)})
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        self.known, self.others = Known(self._unit, 128 << 20), Known(self._word, 32 << 20)
 
     def _unit(self, unit: str) -> bytes:
         shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.bytes)
@@ -75,17 +73,9 @@ class WordTokens:
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" not in text and self.plain(text):
-            parts, known, make = self.units(text.lower()), self.known, self._unit
+            found = self.known.joined(self.units(text.lower()))
         else:
-            parts, known, make = self.words(text), self.others, self._word
-        try:
-            found = b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for p in set(parts).difference(known):
-                known[p] = make(p)
-            found = b"".join(map(known.__getitem__, parts))
+            found = self.others.joined(self.words(text))
         return np.frombuffer(found, self.dtype)
 
 
@@ -101,27 +91,28 @@ def tokenised(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str,
     a term (``start``), the units of the task that hold it (``length``).
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path)
         first, n, holding = TaskContext.get().partitionId() << 32, 0, np.zeros(tokens.size, np.int64)
-        for b in batches:
+        for docs, bodies in chunks(batches, "doc_id", "text"):
             rows = []
-            for doc, body in zip(b.doc_id, b.text):
+            for doc, body in zip(docs, bodies):
                 ids = np.append(tokens.ids(body), np.array([end_id], tokens.dtype))
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    terms = np.flatnonzero(np.bincount(part))
+                    terms = np.unique(part)
                     holding[terms] += 1
                     low = int(terms[-2]) if len(terms) > 1 else 0
                     rows.append((first + n, doc, at, len(part), len(ids), int(terms[-1]), low, part.tobytes()))
                     n += 1
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
         terms = np.flatnonzero(holding)
-        count = pd.DataFrame({"start": terms, "length": holding[terms]})
-        yield count.reindex(columns=columns).astype({"unit": "Int64", "doc_id": "Int64", "doc_tokens": "Int64", "key1": "Int32", "key2": "Int32", "ids": object})
+        count = {"start": pa.array(terms), "length": pa.array(holding[terms])}
+        yield pa.RecordBatch.from_arrays([count.get(c, pa.nulls(len(terms), t)) for c, t in zip(columns, types)], columns)
 
     columns = [x.split(" ")[0] for x in UNIT.split(", ")]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(run, UNIT)
+    types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split(" ")[1]] for x in UNIT.split(", ")]
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, UNIT)
 
 
 class Shard:
@@ -129,15 +120,11 @@ class Shard:
 
     def __init__(self, units: list[np.ndarray], weight_of: np.ndarray, mean_length: float):
         self.n = len(units)
-        terms, holders, counts = [], [], []
-        for i, ids in enumerate(units):
-            c = np.bincount(ids)
-            t = np.flatnonzero(c)
-            terms.append(t)
-            counts.append(c[t])
-            holders.append(np.full(len(t), i, np.int32))
-        self.ends = np.cumsum([0, *map(len, terms)])
-        term, holder, tf = np.concatenate(terms), np.concatenate(holders), np.concatenate(counts).astype(np.float32)
+        # (unit, term) as one number: equal ones are counted by one sort
+        pairs = np.concatenate([ids.astype(np.int64) + (i << 32) for i, ids in enumerate(units)])
+        pairs, tf = np.unique(pairs, return_counts=True)
+        holder, term, tf = (pairs >> 32).astype(np.int32), pairs & 0xFFFFFFFF, tf.astype(np.float32)
+        self.ends = np.searchsorted(holder, np.arange(self.n + 1))
         length = np.array([len(u) for u in units], np.float32)
         weight = (weight_of[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[holder] / mean_length))).astype(np.float32)
         self.term, self.weight = term, weight
