@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Scratch
+from stepforge.llm.common import WORD_PATTERN, Known, Scratch, chunks
 
 _WORD = re.compile(WORD_PATTERN)
-#: Words whose hashes a worker remembers before it starts anew.
-CACHED_WORDS = 400_000
+#: Bytes in which a worker remembers hashes of words.
+CACHE = 96 << 20
 #: Odd bases of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -32,18 +33,12 @@ class WindowHashes:
     """Hashes of all windows of a text: two independent 64-bit polynomials of word hashes."""
 
     def __init__(self):
-        self.known: dict[str, bytes] = {}
+        self.known = Known(lambda w: hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest(), CACHE)
         self.powers = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in BASES]
 
     def words(self, words: list[str]) -> np.ndarray:
         """Two 64-bit hashes of each word, as the rows of an array."""
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(words)
-            for w in new:
-                self.known[w] = hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u8").reshape(-1, 2).T
+        return np.frombuffer(self.known.joined(words), "<u8").reshape(-1, 2).T
 
     def _power(self, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = self.powers[k]
@@ -76,12 +71,12 @@ def _sketch(texts: DataFrame, window: int) -> DataFrame:
     """Per document: words, digests of the word sequence, and the sampled halves (hash, place)."""
     half = (window + 1) // 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WindowHashes()
         none = np.empty(0, np.int64)
-        for b in batches:
+        for docs, bodies in chunks(batches, "doc_id", "text"):
             rows = []
-            for doc, text in zip(b.doc_id, b.text):
+            for doc, text in zip(docs, bodies):
                 words = _WORD.findall(text)
                 digest = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
                 if len(words) < window:
@@ -90,9 +85,11 @@ def _sketch(texts: DataFrame, window: int) -> DataFrame:
                 h = hashes.windows(hashes.words(words)[0], half, 0)
                 at = sample(h, window - half + 1)
                 rows.append((doc, len(words), digest, h[at].view(np.int64), at))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "sha256", "halves", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
 
-    return texts.mapInPandas(run, "doc_id long, n_words long, sha256 string, halves array<long>, places array<int>")
+    columns = ["doc_id", "n_words", "sha256", "halves", "places"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    return texts.mapInArrow(run, "doc_id long, n_words long, sha256 string, halves array<long>, places array<int>")
 
 
 def _near(places: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -107,32 +104,32 @@ def _near(places: np.ndarray, n_words: int, window: int) -> np.ndarray:
 def _windows(around: DataFrame, window: int) -> DataFrame:
     """``h1, h2, doc_id, place`` of each candidate window; around: ``doc_id, text, places``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WindowHashes()
-        for b in batches:
-            for doc, text, places in zip(b.doc_id, b.text, b.places):
+        for part in chunks(batches, "doc_id", "text", "places"):
+            for doc, text, places in zip(*part):
                 words = _WORD.findall(text)
                 own = hashes.words(words)
                 at = _near(np.asarray(places), len(words), window)
                 h = [hashes.windows(own[k], window, k)[at].view(np.int64) for k in (0, 1)]
-                yield pd.DataFrame({"h1": h[0], "h2": h[1], "doc_id": doc, "place": at.astype(np.int32)})
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32))], ["h1", "h2", "doc_id", "place"])
 
-    return around.select("doc_id", "text", "places").mapInPandas(_gathered(run), "h1 long, h2 long, doc_id long, place int")
+    return around.select("doc_id", "text", "places").mapInArrow(_gathered(run), "h1 long, h2 long, doc_id long, place int")
 
 
 def _gathered(run, rows: int = 100_000):
-    """Frames of at least ``rows`` rows each, the last one excepted."""
+    """Batches of at least ``rows`` rows each, the last one excepted."""
 
-    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for frame in run(batches):
-            held.append(frame)
-            n += len(frame)
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
             if n >= rows:
-                yield pd.concat(held, ignore_index=True)
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, n = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return wrapped
 
@@ -150,8 +147,8 @@ def _removed(texts: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame
     # written, so that the joins see plain tables and Spark can split a hot half or window
     repeated = scratch.write(halves.groupBy("half").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("half"))
     survivors = halves.join(repeated, "half").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    around = scratch.write(texts.dropDuplicates(["doc_id"]).join(survivors, "doc_id"))
-    windows = _windows(around, window)
+    around = scratch.write(texts.join(survivors, "doc_id"))
+    windows = scratch.write(_windows(around, window))
     earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     earliest = scratch.write(earliest.select("h1", "h2", "low"))
     again = windows.join(earliest, ["h1", "h2"]).where("doc_id > low")
@@ -181,6 +178,8 @@ def remove_repeats(
     """
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = scratch.write(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
     sketch, copies, removed = _removed(texts, window, scratch)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +199,7 @@ def remove_repeats(
             yield pd.DataFrame(rows, columns=["doc_id", "__n", "__sha", "spans"])
 
     parts = removed.mapInPandas(cut, "doc_id long, __n long, __sha string, spans array<struct<start:long,length:long>>")
-    whole = sketch.dropDuplicates(["doc_id"]).select("doc_id", "n_words", "sha256").join(copies.withColumn("__copy", F.lit(True)), "doc_id", "left").join(parts, "doc_id", "left")
+    whole = sketch.select("doc_id", "n_words", "sha256").join(copies.withColumn("__copy", F.lit(True)), "doc_id", "left").join(parts, "doc_id", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return whole.select(
         "doc_id", "n_words",
