@@ -14,18 +14,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Scratch, connected_components
+from stepforge.llm.common import WORD_PATTERN, Known, Scratch, chunks, connected_components
 
 _WORD = re.compile(WORD_PATTERN)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Places of the ring (the universe that shingles are scattered over).
 RING = 1 << 18
-#: Words whose hashes a worker remembers before it starts anew.
-CACHED_WORDS = 500_000
+#: Bytes in which a worker remembers hashes of words.
+CACHE = 96 << 20
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -40,19 +40,14 @@ class Shingles:
     """Sorted 64-bit hashes of a text's distinct shingles."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width = width
+        self.known = Known(lambda w: hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), CACHE)
 
     def __call__(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.translate(_UPPER) if not text.islower() else text)
         if not words:
             return np.empty(0, np.uint64)
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(words)
-            for w in new:
-                self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        h = np.frombuffer(self.known.joined(words), "<u8")
         n = min(self.width, len(words))
         out = np.full(len(words) - n + 1, np.uint64(n))
         for k in range(n):
@@ -83,13 +78,13 @@ class CirculantSignature:
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
     """``doc_id, n_shingles, set_hi, set_lo, bands``: a 128-bit digest of the set, and a key for each band."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signature = Shingles(width), CirculantSignature(bands * rows, seed)
         # coordinates of a band lie far from each other on the ring's turns
         number = _mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for b in batches:
+        for docs, bodies in chunks(batches, "doc_id", "text"):
             out = []
-            for doc, text in zip(b.doc_id, b.text):
+            for doc, text in zip(docs, bodies):
                 s = shingles(text)
                 if not len(s):
                     out.append((doc, 0, 0, 0, []))
@@ -100,10 +95,11 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> D
                 for part in signature(s).reshape(rows, bands).astype(np.uint64):
                     key = _mix(key * _ODD1 + part)
                 out.append((doc, len(s), hi, lo, key.view(np.int64)))
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], columns)
 
     columns = ["doc_id", "n_shingles", "set_hi", "set_lo", "bands"]
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    types = [*[pa.int64()] * 4, pa.list_(pa.int64())]
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
 def candidate_links(bands: DataFrame) -> DataFrame:
@@ -176,26 +172,25 @@ def verified_links(texts: DataFrame, clusters: DataFrame, width: int, percent: i
     group = ["component", "i", "j"]
     sent = sent.repartition(*group).sortWithinPartitions(*group, "own", "doc_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         now, left, right = None, [], []
 
-        def links() -> list[tuple[int, int]]:
+        def links() -> pa.RecordBatch:
             a, b = [x[1] for x in left], [x[1] for x in right]
             found = linked(a, b if right else None, percent) if left else ()
-            return [(left[i][0], (right or left)[j][0]) for i, j in found]
+            pairs = [(left[i][0], (right or left)[j][0]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for b in batches:
-            out = []
-            for c, i, j, own, doc, text in zip(b.component, b.i, b.j, b.own, b.doc_id, b.text):
+        for part in chunks(batches, "component", "i", "j", "own", "doc_id", "text"):
+            for c, i, j, own, doc, text in zip(*part):
                 if (c, i, j) != now:
-                    out += links()
+                    yield links()
                     now, left, right = (c, i, j), [], []
                 (left if own == i else right).append((doc, shingles(text)))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(links(), columns=["a", "b"], dtype="int64")
+        yield links()
 
-    return sent.mapInPandas(run, "a long, b long")
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(

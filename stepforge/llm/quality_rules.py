@@ -9,16 +9,17 @@ its language (or, for an unknown language, of its main script) is rejected.
 from __future__ import annotations
 
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN
+from stepforge.llm.common import WORD_PATTERN, Known, release
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,8 @@ SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
     "CJK": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0x20000, 0x3FFFF)),
 }
 SYMBOLS = "#*$%&|<>"
-#: Words whose tokens a worker remembers before it starts anew.
-CACHED_WORDS = 400_000
+#: Bytes that a worker remembers words and their tokens in before it starts anew.
+CACHE = 80 << 20
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "n_tokens long, n_fallback long, chars_per_token double, fallback_share double, token_entropy double, "
@@ -108,7 +109,7 @@ def duplicate_lines(text: str) -> int:
 
 
 class _Tokens:
-    """Token ids of words; what was encoded is remembered, up to CACHED_WORDS words."""
+    """Token ids of words; what was encoded is remembered, up to CACHE bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -118,13 +119,16 @@ class _Tokens:
         if len(self.is_byte) > 1 << 16:
             raise ValueError("vocabularies of more than 65536 tokens need wider ids")
         self.known: dict[str, bytes] = {}
+        self.taken = 0
 
     def ids(self, words: list[str]) -> np.ndarray:
         if new := list(set(words).difference(self.known)):
-            if len(self.known) + len(new) > CACHED_WORDS:
+            if self.taken > CACHE:
                 self.known.clear()
-                new = list(set(words))
-            self.known.update((w, array("H", x).tobytes()) for w, x in zip(new, self.model.encode(new, num_threads=1)))
+                self.taken, new = 0, list(set(words))
+            found = [array("H", x).tobytes() for x in self.model.encode(new, num_threads=1)]
+            self.known.update(zip(new, found))
+            self.taken += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, found)) + Known.ENTRY * len(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint16)
 
 
@@ -179,12 +183,17 @@ def quality_rules(
     names = SCHEMA.split(", ")
     columns = [x.split(" ")[0] for x in names]
 
-    @F.pandas_udf(SCHEMA)
-    def rules(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(SCHEMA)
+    def rules(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokens = _Tokens(vocabulary)
         for texts, langs in batches:
-            rows = [measure(t or "", k, tokens, bands, min_words, max_repeat_percent) for t, k in zip(texts, langs)]
-            yield pd.DataFrame(rows, columns=columns)
-
+            rows = []
+            for t, k in zip(texts, langs):
+                rows.append(measure(t.as_py() or "", k.as_py(), tokens, bands, min_words, max_repeat_percent))
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
+        release()
+
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+    types = [kinds[x.split(" ")[1]] for x in names]
     language: Column = F.lit(None).cast("string") if lang is None else F.col(lang)
     return docs.withColumn(out, rules(F.col(text), language))
