@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stepforge.llm.common import WORD_PATTERN, Scratch
 
-#: Signs that are counted to tell apart lines before their distance is worked out.
-LETTERS = "etaonirsldchu0123456789"
+#: Letters that are counted to tell apart lines with a segment in common.
+LETTERS = "etaonirshldu"
 #: Lengths that share one cut into segments.
 LENGTHS = 8
 #: Bits of a line's marks: its length modulo 16, its edits, whether it is indexed by the key, parities of its words.
@@ -155,11 +155,23 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def letters_allow(a: str, b: str, t: Column) -> Column:
-    """Whether ``t`` edits can turn the letter counts of ``a`` into those of ``b``: a substitution changes two of them by one."""
-    count = lambda x, c: F.octet_length(x) - F.octet_length(F.replace(F.col(x), c, F.lit("")))
-    letters = F.array(*map(F.lit, LETTERS))
-    return F.aggregate(letters, F.lit(0), lambda s, c: s + F.abs(count(a, c) - count(b, c))) <= 2 * t
+def letter_counts(line: str) -> Column:
+    """How often each of LETTERS occurs, modulo 32, side by side in an integer, the last one lowest."""
+    count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, c, F.lit("")))).cast("long").bitwiseAND(F.lit(31))
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), lambda s, c: F.shiftleft(s, 5).bitwiseOR(count(c)))
+
+
+def letters_allow(a: str, b: str, difference: Column, t: Column) -> Column:
+    """Whether ``t`` edits can turn letter counts ``a`` into ``b``, for lengths that differ by ``difference``.
+
+    An insertion or deletion changes one count by one, a substitution two; the
+    difference of the lengths takes as many insertions.
+    """
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * i).bitwiseAND(F.lit(31)))
+        total = total + F.least(d, F.lit(32) - d)
+    return total <= 2 * t - difference
 
 
 def word_parities(line: str) -> Column:
@@ -216,33 +228,32 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short:
     left are looked up once each.
     """
     classes = edit_classes(t, min_chars, short)
-    lines = _lines(texts.join(gone, "doc_id", "left"), classes[-1][1])
+    lines = _lines(texts.hint("merge").join(gone, "doc_id", "left"), classes[-1][1])
     edits = F.lit(0)
     for e, least, _ in reversed(classes):
         edits = F.when(F.col("length") >= least, e).otherwise(edits)
     marks = word_parities("line").bitwiseOR((F.pmod("length", F.lit(16)) + F.shiftleft(edits, CLASS_BIT)).cast("long"))
-    lines = lines.withColumn("marks", marks)  # before the explode, which would repeat it for every key
-    keyed = lines.select("doc_id", "place", "marks", F.posexplode(line_keys(classes)).alias("n", "key"))
+    lines = lines.withColumns({"marks": marks, "letters": letter_counts("line")})  # before the explode, which would repeat it for every key
+    keyed = lines.select("doc_id", "place", "marks", "letters", F.posexplode(line_keys(classes)).alias("n", "key"))
     indexed = F.col("n") <= F.shiftright("marks", CLASS_BIT).bitwiseAND(F.lit(7))
-    keyed = keyed.select("key", "doc_id", "place", F.col("marks").bitwiseOR(F.when(indexed, F.lit(1 << INDEX_BIT)).otherwise(F.lit(0)).cast("long")).alias("marks"))
-    one, two = keyed.toDF("key", "a", "i", "own"), keyed.toDF("key", "b", "j", "other")
+    keyed = keyed.select("key", "doc_id", "place", F.col("marks").bitwiseOR(F.when(indexed, F.lit(1 << INDEX_BIT)).otherwise(F.lit(0)).cast("long")).alias("marks"), "letters")
+    one, two = keyed.toDF("key", "a", "i", "own", "these"), keyed.toDF("key", "b", "j", "other", "those")
     bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1))
     differ = F.abs(F.pmod(bits("own", 0, 4) - bits("other", 0, 4) + 8, F.lit(16)) - 8)
     most = F.least(bits("own", CLASS_BIT, 3), bits("other", CLASS_BIT, 3))
     later = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("i") < F.col("j")))
     held = bits(F.col("own").bitwiseOR(F.col("other")), INDEX_BIT, 1) == 1
-    found = one.join(two, "key").where(later & held & (differ <= most) & words_allow("own", "other", most))
+    found = one.join(two, "key").where(later & held & (differ <= most) & words_allow("own", "other", most) & letters_allow("these", "those", differ, most))
     pairs = scratch.write(found.select("a", "i", "b", "j").distinct())
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("i").alias("place")), F.struct(F.col("b").alias("doc_id"), F.col("j").alias("place")))).alias("e"))
     ends = ends.groupBy("e.doc_id").agg(F.collect_set("e.place").alias("places"))
-    looked = texts.join(ends, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
+    looked = texts.hint("merge").join(ends, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
     looked = scratch.write(looked.select("doc_id", "place", F.element_at("lines", F.col("place") + 1).alias("line")).distinct())
     both = pairs.join(looked.toDF("a", "i", "x"), ["a", "i"]).join(looked.toDF("b", "j", "y"), ["b", "j"])
     shorter = F.least(F.char_length("x"), F.char_length("y"))
     near = within_edits("x", "y", t)
     for e, least, most_chars in classes[1:]:
         near = F.when(shorter.between(least, most_chars), within_edits("x", "y", e)).otherwise(near)
-    near = F.when(letters_allow("x", "y", F.lit(t)), near).otherwise(F.lit(False))
     return both.where(near).select(F.col("b").alias("doc_id"), F.col("j").alias("place")).distinct()
 
 
@@ -264,10 +275,10 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
 
     Repeated lines are reduced to their first place before the edit join, so a
     line in a third of all documents is one row there. What moves is narrow
-    rows, and the texts once, by doc_id: the lookup of the verification and
-    the result reuse that exchange. Distinct lines that share a segment and
-    whose words allow so few edits are compared in pairs; Spark splits
-    a hot segment over tasks, but a family of m such lines makes up to m * m / 2 pairs.
+    rows, and the texts by doc_id, at every size alike, so the plan doesn't
+    change as results grow. Distinct lines that share a segment and whose words
+    and letters allow so few edits are compared in pairs; Spark splits a hot
+    segment over tasks, but a family of m such lines makes up to m * m / 2 pairs.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
@@ -276,7 +287,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     gone = scratch.write(repeated_lines(texts, min_chars, short))
     near = near_pairs(texts, gone, t, min_chars, short, scratch).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
     none = F.array().cast("array<int>")
-    out = texts.join(gone, "doc_id", "left").join(near, "doc_id", "left")
+    out = texts.hint("merge").join(gone.hint("merge"), "doc_id", "left").join(near.hint("merge"), "doc_id", "left")
     out = out.withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})
     out = out.union(every.where("doc_id is null").withColumns({"gone": none, "near": none}))
     drop = F.concat("gone", "near")
