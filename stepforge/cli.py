@@ -56,6 +56,8 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         rows = jsonl.read_lines(spark, a.path).orderBy(F.xxhash64("raw"), "raw").limit(a.sample)
         print(*[r.raw for r in rows.select("raw").collect()], sep="\n")
         return 0
+    if a.resume and a.format == "json":
+        raise SystemExit("--resume appends, which one JSON array does not allow: use jsonl, both or parquet")
     out = a.out.rstrip("/")
     checkpoint = f"{out}/states.checkpoint.jsonl"
     done = jsonl.read_lines(spark, checkpoint).select(F.get_json_object("raw", "$.file").alias("file")) if a.resume else None
@@ -66,11 +68,15 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     rows = states.drop("kind", "proof_start", "proof_end", "start", "end")
     mode = "append" if a.resume else "overwrite"
     for name, frame in (("states", rows), ("transitions", harvest.transition_rows(states))):
-        if a.resume and a.format == "jsonl":
-            frame.write.mode("append").json(f"{out}/{name}.jsonl")
+        path = f"{out}/{name}.{'jsonl' if a.format in ('jsonl', 'both') else a.format}"
+        if a.resume:  # what earlier runs wrote stays
+            (frame.write.mode("append").parquet if a.format == "parquet" else frame.write.mode("append").json)(path)
+            if a.format == "both":
+                jsonl.write_array(spark.read.text(path), path)
         else:
-            jsonl.write_rows(frame, f"{out}/{name}.{'jsonl' if a.format in ('jsonl', 'both') else a.format}", a.format)
+            jsonl.write_rows(frame, path, a.format)
     files.select(F.col("path").alias("file")).write.mode(mode).json(checkpoint)  # last: names only what is written
+    states.unpersist()
     return 0
 
 

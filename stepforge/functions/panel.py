@@ -16,47 +16,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PARSED = "text string, spans array<struct<start:int,end:int,kind:string>>"
-_OPEN, _CLOSE, _TEXT = range(3)
 
 
-class _Events(HTMLParser):
-    """The panel as a flat list of (what, value)."""
+class _Panel(HTMLParser):
+    """Collects a panel's plain text, and for each tag its place in the text: (place, class) or, for an end, (place, _END)."""
+
+    _END = object()
 
     def __init__(self, content: str):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[int, str | None]] = []
+        self.pieces: list[str] = []
+        self.length = 0
+        self.marks: list[tuple[int, object]] = []
         self.feed(content)
         self.close()
 
-    def handle_starttag(self, tag, attrs):
-        self.found.append((_TEXT, "\n") if tag == "br" else (_OPEN, next((v for k, v in reversed(attrs) if k == "class"), None)))
+    def handle_data(self, data):
+        self.pieces.append(data)
+        self.length += len(data)
 
     def handle_startendtag(self, tag, attrs):
         if tag == "br":
-            self.found.append((_TEXT, "\n"))
+            self.handle_data("\n")
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            return self.handle_data("\n")
+        self.marks.append((self.length, dict(attrs).get("class")))  # the last of equal names counts
 
     def handle_endtag(self, tag):
         if tag != "br":
-            self.found.append((_CLOSE, None))
+            self.marks.append((self.length, self._END))
 
-    def handle_data(self, data):
-        self.found.append((_TEXT, data))
+    def spans(self) -> list[tuple[int, int, str]]:
+        """Start and end marks matched like brackets; surplus ends match nothing."""
+        waiting: list[tuple[int, object]] = []
+        found = []
+        for place, name in self.marks:
+            if name is not self._END:
+                waiting.append((place, name))
+            elif waiting:
+                begin, kind = waiting.pop()
+                found += [(begin, place, kind)] if kind and begin < place else []
+        return found
 
 
 def parse_panel(content: str | None) -> tuple[str, list[tuple[int, int, str]]]:
     """Text and spans (start, end, kind) of one panel; NULL and '' give ''."""
-    text, at, spans, opened = [], 0, [], []
-    for what, value in _Events(content).found if content else ():
-        if what == _TEXT:
-            text.append(value)
-            at += len(value)
-        elif what == _OPEN:
-            opened.append((at, value))
-        elif opened:
-            start, kind = opened.pop()
-            if kind and start < at:
-                spans.append((start, at, kind))
-    return "".join(text), spans
+    if not content:
+        return "", []
+    panel = _Panel(content)
+    return "".join(panel.pieces), panel.spans()
 
 
 def panel_text(content: str | Column) -> Column:

@@ -38,11 +38,11 @@ def read_shards(spark: SparkSession, shard_root: str, name: str, schema: str) ->
 
 
 def keep_first(rows: DataFrame) -> DataFrame:
-    """Of rows with one key the first, by shard (as a string) and line. Missing key parts equal each other."""
+    """Of rows with one key the first, by shard (as a string), file and line. Missing key parts equal each other."""
     has = {f.name for f in rows.schema["rec"].dataType.fields}
     keys = [F.col(f"rec.{k}") if k in has else F.lit(None).cast("string") for k in KEY]
     keyed = rows.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    return first_wins(keyed, [f"__k{i}" for i in range(len(KEY))], ["shard", "line_no"]).drop(*[f"__k{i}" for i in range(len(KEY))])
+    return first_wins(keyed, [f"__k{i}" for i in range(len(KEY))], ["shard", "file_path", "line_no"]).drop(*[f"__k{i}" for i in range(len(KEY))])
 
 
 def shard_names(spark: SparkSession, shard_root: str) -> list[str]:
@@ -98,5 +98,5 @@ def merge_shards(
             raise LeakageError(f"held-out entries: {report['leaked_e_g']}")
     if out is not None:
         for name, rows in parts.items():
-            jsonl.write_rows(rows.orderBy("shard", "line_no"), f"{out.rstrip('/')}/{name}.jsonl", raw="raw")
+            jsonl.write_rows(rows.orderBy("shard", "file_path", "line_no"), f"{out.rstrip('/')}/{name}.jsonl", raw="raw")
     return Merge(parts["states"], parts["transitions"], bad, report, status)

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def transitions(steps: DataFrame, group: Sequence[str], order: str, state: str, tactic: str) -> DataFrame:
-    """Adjacent states of one group: ``state_before``, the later step's ``tactic``, ``state_after``."""
+def transitions(steps: DataFrame, group: Sequence[str], order: str, state: str, tactic: str, place: Sequence[str] = ()) -> DataFrame:
+    """Adjacent states of one group: ``state_before``, the later step's ``tactic``, ``state_after``.
+
+    place: columns of the later step that come along, as the place of its tactic.
+    """
     w = Window.partitionBy(*group).orderBy(order)
-    out = steps.withColumns({"state_after": F.lead(state).over(w), "tactic": F.lead(tactic).over(w), "__last": F.lead(order).over(w).isNull()})
-    return out.where("not __last").select(*group, order, F.col(state).alias("state_before"), "tactic", "state_after")
+    later = {"state_after": F.lead(state).over(w), "tactic": F.lead(tactic).over(w), "__last": F.lead(order).over(w).isNull()}
+    out = steps.withColumns(later | {c: F.lead(c).over(w) for c in place})
+    return out.where("not __last").select(*group, *place, order, F.col(state).alias("state_before"), "tactic", "state_after")
 
 
 def prefixes(steps: DataFrame, group: Sequence[str], order: str, text: str, sep: str = "") -> DataFrame:

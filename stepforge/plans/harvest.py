@@ -48,8 +48,8 @@ def state_rows(files: DataFrame, panels: DataFrame | None = None, mode: str = "c
 
 
 def transition_rows(states: DataFrame) -> DataFrame:
-    """Adjacent counted states of each proof; the tactic is the later command's text."""
+    """Adjacent counted states of each proof; the tactic is the later command's text, line and character are where it ends."""
     tactic = F.expr("right(prefix, `end` - start)")
     steps = segment.counted(states.withColumn("tactic", tactic)).select("file", "proof_id", "line", "character", "offset", "tactic", "state")
-    out = proofs.transitions(steps, ["file", "proof_id"], "offset", "state", "tactic")
-    return out.select("file", "proof_id", "offset", "tactic", "state_before", "state_after")
+    out = proofs.transitions(steps, ["file", "proof_id"], "offset", "state", "tactic", ["line", "character"])
+    return out.select("file", "line", "character", "proof_id", "offset", "tactic", "state_before", "state_after")

@@ -16,16 +16,29 @@ TRANSITIONS = "file string, line long, character long, tactic string, state_befo
 
 
 def parse_lines(lines: DataFrame, schema: str, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(good, bad): lines with a struct ``rec``, and those that are no JSON object of the schema.
+    """(good, bad): lines with a struct ``rec``, and those that are no JSON object.
 
     Blank lines are in neither. The raw line is kept, so fields that the schema
-    lacks survive a merge. Numbers, strings and arrays on a line of their own
-    count as bad.
+    lacks survive a merge. A line holds one object and nothing behind it;
+    numbers, strings and arrays on a line of their own count as bad. A field of
+    another type than the schema's is converted if it can be (5.0 and "5" to
+    5), and NULL if not; the line stays.
     """
-    parsed = F.from_json(strip(raw), f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    full = lines.where(strip(raw) != "").withColumn("rec", parsed)
-    is_bad = F.col("rec").isNull() | F.col("rec.__bad").isNotNull() | ~F.startswith(strip(raw), F.lit("{"))
-    return full.where(~is_bad).withColumn("rec", F.col("rec").dropFields("__bad")), full.where(is_bad).drop("rec")
+    full = lines.where(strip(raw) != "")
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]")))  # what stands behind the object makes this invalid, or longer
+    is_good = F.startswith(strip(raw), F.lit("{")) & F.coalesce(F.size(alone.cast("array<variant>")) == 1, F.lit(False))
+    fields = [x.split() for x in schema.split(", ")]
+    loose = F.from_json(strip(raw), ", ".join(f"{n} string" for n, _ in fields))
+
+    def typed(name: str, kind: str) -> Column:
+        value = loose[name]
+        if kind in ("long", "int"):  # also from 5.0
+            return F.coalesce(value.try_cast(kind), value.try_cast("double").try_cast(kind))
+        return value if kind == "string" else value.try_cast(kind)
+
+    rec = F.struct(*[typed(n, k).alias(n) for n, k in fields])
+    marked = full.withColumn("__good", is_good)
+    return marked.where("__good").drop("__good").withColumn("rec", rec), marked.where("not __good").drop("__good")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -61,8 +74,9 @@ def read_entries(spark: SparkSession, path: str, out: str = "entry") -> DataFram
 
 
 def shard_of(file_path: str | Column) -> Column:
+    """The innermost folder ``shard_*`` that a file lies in, at any depth: Spark writes folders of part files."""
     c = F.col(file_path) if isinstance(file_path, str) else file_path
-    return F.regexp_extract(c, r"/(shard_[^/]*)/[^/]*$", 1)
+    return F.regexp_extract(c, r".*/(shard_[^/]*)/", 1)
 
 
 def write_rows(df: DataFrame, path: str, encoding: str = "jsonl", raw: str | None = None) -> None:
@@ -80,13 +94,19 @@ def write_rows(df: DataFrame, path: str, encoding: str = "jsonl", raw: str | Non
     if encoding in ("jsonl", "both"):
         lines.write.mode("overwrite").text(path)
     if encoding in ("json", "both"):
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".json")
-        stream = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-        try:
-            for n, row in enumerate(lines.toLocalIterator()):
-                stream.write(bytearray(("[\n" if not n else ",\n").encode() + json.dumps(json.loads(row[0]), ensure_ascii=False).encode()))
-                empty = False
-            stream.write(bytearray(b"[]\n" if "empty" not in locals() else b"\n]\n"))
-        finally:
-            stream.close()
+        write_array(lines, path)
+
+
+def write_array(lines: DataFrame, path: str) -> None:
+    """The finished lines in ``value`` as one JSON array beside ``path``."""
+    context = lines.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".json")
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        before = "[\n"
+        for row in lines.toLocalIterator():
+            stream.write(bytearray((before + json.dumps(json.loads(row[0]), ensure_ascii=False)).encode()))
+            before = ",\n"
+        stream.write(bytearray(b"[]\n" if before == "[\n" else b"\n]\n"))
+    finally:
+        stream.close()

@@ -27,21 +27,34 @@ def test_harvest_resume_equals_full_run(spark, tmp_path):
     assert sum(r["in_proof"] for r in full) == 9
 
 
-def test_harvest_shards_then_merge(spark, tmp_path):
+def test_harvest_shards_then_merge(spark, tmp_path, capsys):
     args = corpus(tmp_path)
+    proof = "lemma l{0}: P\n  apply a\n  apply b\n  done\n"
+    (tmp_path / "thys/EA/A.thy").write_text("theory A imports Main begin\n" + "".join(map(proof.format, range(3))) + "end\n")
+    n = {}
     for i in range(2):
-        cli.run(spark, [*args, "--out", str(tmp_path / f"out/shard_{i}"), "--shard", str(i), "--num-shards", "2"])
-    # folders of part files are flattened to the one-file layout that shards have
-    for i in range(2):
+        out = str(tmp_path / f"out/shard_{i}")
+        cli.run(spark, [*args, "--out", out, "--shard", str(i), "--num-shards", "2"])
         for name in ("states", "transitions"):
-            folder = tmp_path / f"out/shard_{i}/{name}.jsonl"
-            lines = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
-            target = tmp_path / f"in/shard_{i}/{name}.jsonl"
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(lines)
+            n[name] = n.get(name, 0) + spark.read.text(f"{out}/{name}.jsonl").count()
     (tmp_path / "held").write_text("EB\n")
-    assert cli.run(spark, ["merge", str(tmp_path / "in"), "--out", str(tmp_path / "merged"), "--test-entries", str(tmp_path / "held")]) == 1
-    assert len(states(spark, tmp_path / "merged")) == 21
+    capsys.readouterr()
+    # the folders as they were written: equal tactics of several proofs stay apart
+    assert cli.run(spark, ["merge", str(tmp_path / "out"), "--out", str(tmp_path / "merged"), "--test-entries", str(tmp_path / "held")]) == 1
+    report = json.loads(capsys.readouterr().out)
+    assert len(states(spark, tmp_path / "merged")) == n["states"] == report["n_states"]
+    assert spark.read.text(f"{tmp_path}/merged/transitions.jsonl").count() == n["transitions"] == report["n_transitions"] >= 6
+    assert report["empty_shards"] == [] and set(report["kept_per_shard"]) == {"shard_0", "shard_1"}
+
+
+def test_resume_keeps_every_format(spark, tmp_path):
+    args = corpus(tmp_path)
+    for how, read in (("parquet", spark.read.parquet), ("both", spark.read.json)):
+        out = str(tmp_path / how)
+        assert cli.run(spark, [*args, "--out", out, "--format", how, "--limit", "1"]) == 0
+        assert cli.run(spark, [*args, "--out", out, "--format", how, "--resume"]) == 0
+        assert read(f"{out}/states.{'jsonl' if how == 'both' else how}").select("file", "offset").distinct().count() == 3 * 7
+    assert len(json.loads((tmp_path / "both/states.jsonl.json").read_text())) == 3 * 7
 
 
 def test_sample_is_stable(spark, tmp_path, capsys):

@@ -44,7 +44,16 @@ def test_merge_is_idempotent(spark, shards):
     merge_shards(spark, str(shards / "in"), first)
     merge_shards(spark, str(shards / "again"), second)
     read = lambda p: sorted(r[0] for r in spark.read.text(p).collect())
-    assert read(f"{first}/states.jsonl") != []
+    for name in ("states", "transitions"):
+        assert read(f"{first}/{name}.jsonl") == read(f"{second}/{name}.jsonl") != []
+
+
+def test_lenient_fields_strict_objects(spark):
+    lines = ['{"line":"5"}', ' {"line":5.0} ', '{"line":5,"x":[1]}', '{"line":true}', "{}", '{"line":1} x', '{"line":1},{"line":2}', "[1]", "3", '{"line":', "", " "]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+    good, bad = jsonl.parse_lines(df, "line long, file string")
+    assert [(r.raw, r.rec.line) for r in good.collect()] == list(zip(lines[:5], [5, 5, 5, None, None]))
+    assert [r.raw for r in bad.collect()] == lines[5:10]
 
 
 def test_status(spark, shards):
