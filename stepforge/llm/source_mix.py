@@ -114,8 +114,11 @@ def source_mix(
     seed: int = 7,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """What the mix takes of each row: ``doc_id, source, text_hash, size, source_size, target, taken``.
+    """What the mix takes of each row: ``doc_id, source, text_hash, size, source_size, target, taken, slots``.
 
+    slots: for each copy of the row that the mix takes, the schedule's slot at
+    which it begins; in their order every stretch of the mix holds the sources
+    in about their shares.
     ``taken`` counts words with repeats; ``taken / size`` whole copies of the
     text and then its first ``taken % size`` words. Reruns agree: the order
     depends on ``seed`` and ``doc_id`` alone, ties by hash of the text.
@@ -158,26 +161,29 @@ def source_mix(
     )
     keep = ["doc_id", "source", "text_hash", "size", "source_size", "target"]
     if n_slots:
-        slots = schedule(sources, n_slots).select("ordinal", "rank")
+        slots = schedule(sources, n_slots)
         used = slots.join(sources.select("ordinal", "blocks", "slots", "last_words"), "ordinal").select(
-            "ordinal", F.pmod("rank", "blocks").alias("block"),
+            "ordinal", F.pmod("rank", "blocks").alias("block"), "slot", F.floor(F.col("rank") / F.col("blocks")).alias("turn"),
             F.when(F.col("rank") == F.col("slots") - 1, F.col("last_words")).otherwise(F.lit(block_words)).alias("use"),
         )
         block_start = F.col("block") * block_words
         part = F.least(F.col("end"), block_start + F.col("use")) - F.greatest(F.col("start"), block_start)
         joined = pieces.join(used, ["ordinal", "block"], "left").withColumn("part", F.when(F.col("use").isNull(), 0).otherwise(F.greatest(part, F.lit(0))))
     else:
-        joined = pieces.withColumn("part", F.lit(0).cast("long"))
-    taken = joined.groupBy("ordinal", "start", *keep).agg(F.sum("part").alias("taken"))
-    empty = placed.where("size = 0").select(*keep, F.lit(0).cast("long").alias("taken"))
-    return taken.select(*keep, "taken").union(empty)
+        joined = pieces.withColumn("part", F.lit(0).cast("long")).withColumns({"slot": F.lit(None).cast("long"), "turn": F.lit(None).cast("long")})
+    first = [F.min(F.when((F.col("turn") == k) & (F.col("part") > 0), F.col("slot"))) for k in range(most_times)]
+    taken = joined.groupBy("ordinal", "start", *keep).agg(F.sum("part").alias("taken"), F.filter(F.array(*first), lambda x: x.isNotNull()).alias("slots"))
+    empty = placed.where("size = 0").select(*keep, F.lit(0).cast("long").alias("taken"), F.array().cast("array<bigint>").alias("slots"))
+    return taken.select(*keep, "taken", "slots").union(empty)
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", slot: str | None = None, **options) -> DataFrame:
     """The mix itself: ``docs`` with each row once per copy taken, the last copy cut to the words taken.
 
     A cut copy has its words joined by one space; whole copies keep their text.
-    Rows of which nothing is taken go. All columns are returned.
+    Rows of which nothing is taken go. All columns are returned, and the slot at
+    which a copy begins if a name for it is given. The rows come in the order
+    of the schedule: ranges of slots over partitions, sorted within.
     """
     taken = source_mix(docs, doc_id, text, source, **options)
     same = Window.partitionBy("__id", "__source", "__hash").orderBy("__id")
@@ -185,17 +191,21 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = docs.withColumns(keys).withColumn("__nth", F.row_number().over(same))
     right = taken.where("taken > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"),
-        F.col("size").alias("__size"), F.col("taken").alias("__taken"),
+        F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("slots").alias("__slots"),
     )
     right = right.withColumn("__nth", F.row_number().over(same.orderBy("__taken")))
     l, r = left.alias("l"), right.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("__id", "__source", "__hash", "__nth")]
-    both = l.join(r, on).select("l.*", "__size", "__taken")
+    both = l.join(r, on).select("l.*", "__size", "__taken", "__slots")
     copies = F.ceil(F.col("__taken") / F.col("__size")).cast("long")
     both = both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})")), F.lit(1), F.pmod("__taken", "__size").cast("int")), " ")
     whole = F.col("__copy") * F.col("__size") <= F.col("__taken")
-    return both.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*docs.columns)
+    # a copy that begins in the last one's last block has no slot of its own
+    begins = F.coalesce(F.get("__slots", (F.col("__copy") - 1).cast("int")), F.array_max("__slots"))
+    mixed = both.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).withColumn("__slot", begins)
+    mixed = mixed.repartitionByRange("__slot", F.xxhash64("__id")).sortWithinPartitions("__slot", "__id", "__copy")
+    return mixed.select(*docs.columns, *([] if slot is None else [F.col("__slot").alias(slot)]))
 
 
 def oracle_sql(block_words: int = 512, seed: int = 7) -> str:

@@ -292,6 +292,12 @@ def test_source_mix(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order) and len(got) == len(rows)
     again = source_mix.source_mix(df.repartition(7), block_words=64).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+    ordered = source_mix.mixed_documents(df, block_words=64, slot="at").orderBy("at").collect()
+    share, done, held = {s: taken[s] / sum(taken.values()) for s in order}, 0, defaultdict(int)
+    for r in ordered:  # every prefix of the mix holds the sources in about their shares
+        n = len(WORD.findall(r.text))
+        done, held[r.source] = done + n, held[r.source] + n
+        assert all(abs(held[s] - share[s] * done) <= 6 * 300 for s in order)
     mixed = source_mix.mixed_documents(df, block_words=64)
     by = {(r.doc_id, r.source): r.taken for r in got}
     counts = defaultdict(int)
