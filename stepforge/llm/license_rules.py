@@ -79,6 +79,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Unlicense", ("unlicense",)),
     ("LicenseRef-all-rights-reserved", ("all-rights",)),
 )
+#: Identifiers that a tag "SPDX-License-Identifier" may name.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+SENTENCES |= {f"spdx-{x}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()) for x in SPDX}
+RULES += tuple((x, (f"spdx-{x}",)) for x in SPDX)
 #: Every known sentence holds one of these, so texts without any need no cutting.
 HINTS = ("licen", "copyright", "permission", "redistribut", "warrant", "rights", "free software", "unencumbered", "without any", "in no event")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -166,12 +174,17 @@ def oracle_sql() -> str:
         )
         same = [f"coalesce(hit_{k}, false)" for k in range(i) if RULES[k][0] == name]
         hits.append(f"CASE WHEN hit_{i} AND NOT ({' OR '.join(same) or 'false'}) THEN {quoted(name)} END")
+    # each break is doubled, so that neighbouring sentences have one each
+    pattern = "\\n(?:" + "|".join(x.replace(" ", "(?: |\\n\\n)") for x in sorted(SENTENCES.values(), key=len, reverse=True)) + ")\\n"
     return f"""
 WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_END}', '\\1' || chr(10), 'g'), chr(10)) AS parts
+  SELECT doc_id, regexp_replace(chr(10) || regexp_replace(regexp_replace(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_END}', chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g') || chr(10),
+    ' ?\\n[ \\n]*', chr(10) || chr(10), 'g') AS broken
   FROM documents),
 ids AS (
-  SELECT doc_id, list_filter(list_transform(parts, lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM cut),
+  SELECT doc_id, list_transform(regexp_extract_all(broken, '{pattern}', 0), lambda s: {known}[trim(replace(replace(s, chr(10) || chr(10), ' '), chr(10), ' '))]) AS ids
+  FROM cut),
 marked AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS left_0 FROM ids),
 {', '.join(steps)}
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ' '), '') AS sequence, concat_ws(' ', {', '.join(hits)}) AS licences

@@ -183,6 +183,24 @@ def test_license_rules_wrapped(spark):
     assert got[3].matched == ["MIT"] and got[3].left == []
     assert got[4].matched == ["BSD-3-Clause", "LicenseRef-all-rights-reserved"] and got[4].left == []
     assert got[5].sequence == [] and got[6].matched == ["CC-BY-4.0"]
+    tags = spark.createDataFrame([("// SPDX-License-Identifier: MIT\nint x;",), ("# SPDX-License-Identifier: GPL-2.0-or-later",), ("SPDX-License-Identifier: MIT OR Other",)], "text string")
+    assert [r.licence.matched for r in license_rules.license_rules(tags).collect()] == [["MIT"], ["GPL-2.0-or-later"], []]
+
+
+def test_license_oracle(spark, tmp_path):
+    import duckdb
+
+    from stepforge.llm.queries import op8_license_rules
+
+    join = lambda keys: "\n  ".join(license_rules.SENTENCES[k].replace(" of ", "\n * of ") + "." for k in keys)
+    texts = [join(("mit-grant", "mit-notice")), join(("bsd-grant", "bsd-source", "bsd-binary")), "SPDX-License-Identifier: MIT", "released under the mit license. All rights reserved", None, "x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, op8_license_rules(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(license_rules.oracle_sql()).fetchall())
+    assert [r[3] for r in got] == ["MIT", "BSD-2-Clause", "MIT", "MIT LicenseRef-all-rights-reserved", "", ""]
 
 
 def test_license_rules_order(spark):
