@@ -36,12 +36,13 @@ class Band:
     entropy: float
 
 
-#: By language, then by script for languages not named here.
+#: By language, then by script for languages not named here. The least characters per token of the four languages
+#: lie below the first percentile that rows labelled good have with the vocabulary piece_bpe_32k (3,980 labelled rows, the sample's bound).
 BANDS: dict[str, Band] = {
-    "en": Band((1.9, 6.5), 0.05, 0.35),
-    "de": Band((2.0, 6.5), 0.05, 0.35),
-    "fr": Band((1.6, 6.5), 0.05, 0.35),
-    "es": Band((1.7, 6.5), 0.05, 0.35),
+    "en": Band((2.05, 6.5), 0.05, 0.35),
+    "de": Band((2.05, 6.5), 0.05, 0.35),
+    "fr": Band((1.8, 6.5), 0.05, 0.35),
+    "es": Band((1.8, 6.5), 0.05, 0.35),
     "Latin": Band((1.4, 6.5), 0.10, 0.35),
     "Cyrillic": Band((1.2, 5.5), 0.10, 0.35),
     "Greek": Band((0.8, 4.0), 0.20, 0.35),
