@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one where none is set (tests)."""
+    """The folder that all executors see. Where none is set, a temporary one, if executors are threads of this machine (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or ""
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='stepforge-')}"
         context.setCheckpointDir(named)
     return named.rstrip("/")
