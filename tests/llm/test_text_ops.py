@@ -1,7 +1,10 @@
 """Operators 1, 3, 4, 8 on small inputs, against brute force or by round trip."""
 
 import hashlib
+import html
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +90,61 @@ def test_host_vote_beats_page(spark):
     assert got.text == TEXT
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<article><div class='entry-header'><h1>Head</h1></div><p>{TEXT}</p></article>", f"Head {TEXT}"),
+        (f"<div class='post'><div class='entry-header'><h1>Head</h1></div><p>{TEXT}</p></div>", f"Head {TEXT}"),
+        (f"<main><h1>Head</h1><div class='body'><p>{TEXT}</p></div></main>", f"Head {TEXT}"),
+        (f"<article><h2 class='section-header'>Part</h2><p>{TEXT}</p><section id='discussion'><p>{TEXT}</p></section></article>", f"Part {TEXT} {TEXT}"),
+        (f"<article><p>{TEXT}</p><figure><img src=x><figcaption>A figure</figcaption></figure><label>Name</label></article>", f"{TEXT} A figure Name"),
+        (f"<article><p>{TEXT}</p><div class='discussion'>said</div><div class='header-ad'>buy</div><div class='share'>on</div></article>", TEXT),
+        (f"<div class='site-header'>Site and all that belongs to it</div><div><p>{TEXT}</p></div>", TEXT),
+        (f'<article><p>{TEXT} <a href="x>link more</a></p></article>', f"{TEXT} link more"),
+        (f"<article><p title=it's>{TEXT}</p><p title='a > b'>x < y</p></article>", f"{TEXT} x < y"),
+        (f"<article><p>{TEXT} a<span hidden>no</span>b</p></article>", f"{TEXT} ab"),
+        (f"<article><svg><text>no</text></svg><p>{TEXT}</p><svg><p>left open</p></article>", f"{TEXT} left open"),
+        ("<div><p>One</p><p>Two</p></div><nav>Menu</nav>", "One Two"),
+        (f"<article><p>{TEXT}</p><!-- never closed <p>x</p></article>", TEXT),
+    ],
+)
+def test_html_parts(body, want):
+    assert html_text.page_text(page(body), None) == want
+
+
+@pytest.mark.parametrize("piece", ['<div class="a', "<a ", "<div>", "</x>", "<b>", "<i><div><b>", "<div></i>", "<p a='", "<svg>", "<!--", "<li><ul>", "=' ", "<a b=\"c' d="])
+def test_html_hostile(piece):
+    def seconds(n):
+        began = time.process_time()
+        assert html_text.page_text("<p>hello " + piece * n, None).startswith("hello")
+        return time.process_time() - began
+
+    assert seconds(100_000) < 16 * seconds(12_500) + 1  # eight times the page
+
+
+def test_html_long_names_and_deep_paths():
+    def votes(name):
+        return html_text.page_votes(page("<div>" * 20 + f"<div class='{name}'><p>{TEXT}</p>"))
+
+    assert votes("a b c " + "d" * 50 + "x") != votes("a b c " + "d" * 50 + "y") and votes("post-1 b") == votes("b post-27")
+    deep = [html_text.page_votes(page(f"<div class='{c}'>" + "<div>" * 12 + f"<p>{TEXT}</p>")) for c in "xy"]
+    assert deep[0] != deep[1]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_generated(seed):
+    """Pages built from a list of blocks, of which those of the article are known."""
+    pick = random.Random(seed)
+    words = lambda: " ".join(pick.choice(["word", "x &amp; y", "é&#233;", "a<b>b</b>c", "two,\n three", "1 &lt; 2"]) for _ in range(pick.randint(20, 60)))
+    plain = lambda x: " ".join(html.unescape(x.replace("<b>", "").replace("</b>", "")).split())
+    around = ["<nav><ul><li><a href='/'>Menu</a></ul></nav>", f"<div class='ad-{seed}'>{words()}</div>", f"<aside>{words()}</aside>", "<form><p>Send</form>", "<script>if (a<b) '</p>'</script>", f"<!-- {words()} -->", "<div role='alert'>Hear</div>", f"<section class='comments'><p>{words()}</p></section>"]
+    blocks = [(pick.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</ul>", "<blockquote><p>{}</blockquote>", "<pre>{}</pre>", "<div class='part'><p>{}</p></div>"]), words()) for _ in range(pick.randint(2, 8))]
+    inside = "".join(b.format(w) + pick.choice(["", *around]) for b, w in blocks)
+    chrome = lambda: "".join(pick.sample(around, 4))
+    got = html_text.page_text(page(f"{chrome()}<article><h1>Title</h1>{inside}</article>{chrome()}<footer>{words()}</footer>"), html_text.page_votes(page("<article><p>" + TEXT)))
+    assert got == " ".join(["Title", *(plain(w) for _, w in blocks)])
+
+
 CHATS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "hi <|end|>\n<|turn|>x \\<| \\\\"), (1, 2, "assistant", "</s>[INST] ok [/INST] \\"),
     (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "é😀 <<SYS>> [/SYSTEM_PROMPT] <"),
