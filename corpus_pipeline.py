@@ -28,15 +28,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that lost lines goes if none but blank ones are left; n_chars
     follows the new text. Rows with a NULL doc_id stay whole, identical rows as
-    often as they are; rows that share a doc_id get the first lang and source.
+    often as they are; every row keeps its own lang and source.
     """
-    cut = line_dedup.line_dedup(docs, t=2, min_chars=MIN_LINE, short=True)
+    cut = line_dedup.line_dedup(docs, t=2, min_chars=MIN_LINE, short=True, carry=("lang", "source"))
     left = F.col("kept_text").rlike(WORD_PATTERN)
-    cut = cut.where(left | (F.col("n_equal") + F.col("n_near") == 0)).select("doc_id", "kept_text")
-    own = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("lang", "source")).alias("own"))
-    new = cut.join(own, "doc_id").select("doc_id", F.col("kept_text").alias("text"), "own.lang", "own.source")
-    whole = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    return new.union(whole).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = cut.where(left | (F.col("n_equal") + F.col("n_near") == 0)).withColumn("text", F.col("kept_text"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ bit-parallel edit distance. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,8 +259,11 @@ def near_pairs(texts: DataFrame, gone: DataFrame, t: int, min_chars: int, short:
     return both.where(near).select(F.col("b").alias("doc_id"), F.col("j").alias("place")).distinct()
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """Per document: ``doc_id, text, n_lines, n_equal, n_near, kept_text``.
+def line_dedup(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: int = 2, min_chars: int = 16, short: bool = False,
+    scratch: Scratch | None = None, carry: Sequence[str] = (),
+) -> DataFrame:
+    """Per row: ``doc_id, text, n_lines, n_equal, n_near, kept_text``, and the columns ``carry`` as they are.
 
     A line (cut at line feeds) goes if an earlier one, by doc_id and then place,
     equals it or is within ``t`` edits (insertions, deletions, substitutions of
@@ -282,12 +287,13 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     """
     scratch = scratch or Scratch(docs.sparkSession)
     own = F.col(doc_id) if doc_id == "doc_id" else F.col(doc_id).alias("doc_id")  # an alias would set apart equal exchanges
-    every = docs.select(own, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = every.where("doc_id is not null")
+    whole = F.coalesce(F.col(text), F.lit("")).alias("text")
+    texts = docs.select(own, whole).where("doc_id is not null")
     gone = scratch.write(repeated_lines(texts, min_chars, short))
     near = near_pairs(texts, gone, t, min_chars, short, scratch).groupBy("doc_id").agg(F.collect_set("place").alias("near"))
     none = F.array().cast("array<int>")
-    out = texts.hint("merge").join(gone.hint("merge"), "doc_id", "left").join(near.hint("merge"), "doc_id", "left")
+    every = docs.select(own, whole, *carry)  # what is carried along moves once, with the result
+    out = every.where("doc_id is not null").hint("merge").join(gone.hint("merge"), "doc_id", "left").join(near.hint("merge"), "doc_id", "left")
     out = out.withColumns({"gone": F.coalesce("gone", none), "near": F.coalesce("near", none)})
     out = out.union(every.where("doc_id is null").withColumns({"gone": none, "near": none}))
     drop = F.concat("gone", "near")
@@ -295,4 +301,4 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t: i
     kept = F.filter(lines, lambda x, n: ~F.array_contains(drop, n))
     kept_text = F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = lambda c: F.size(c).cast("long")
-    return out.select("doc_id", "text", count(lines).alias("n_lines"), count("gone").alias("n_equal"), count("near").alias("n_near"), kept_text.alias("kept_text"))
+    return out.select("doc_id", "text", count(lines).alias("n_lines"), count("gone").alias("n_equal"), count("near").alias("n_near"), kept_text.alias("kept_text"), *carry)
