@@ -34,8 +34,10 @@ KINDS: dict[str, str] = {
         "named_theorems bundle unbundle syntax no_syntax translations hide_const hide_fact hide_type code_printing export_code "
         "primcorec corec partial_function fun_cases inductive_cases inductive_simps setup_lifting lifting_update print_translation "
         "parse_translation overloading experiment notepad private qualified declaration method_setup simproc_setup attribute_setup "
-        "ML ML_file ML_val ML_prf ML_command setup local_setup oracle method code_datatype code_pred nitpick_params quickcheck_params "
-        "type_notation no_type_notation derive free_constructors hide_class theorems code_reserved code_identifier SML_file",
+        "setup local_setup oracle method code_datatype code_pred nitpick_params quickcheck_params "
+        "type_notation no_type_notation derive free_constructors hide_class theorems code_reserved code_identifier",
+        "program": "ML ML_file SML_file",
+        "inner_program": "ML_prf ML_val ML_command",
         "markup": "text txt text_raw chapter section subsection subsubsection paragraph subparagraph",
         "diag": "thm term value typ prop print_theorems find_theorems find_consts thm_deps sledgehammer nitpick quickcheck try try0 "
         "print_locale print_state export_generated_files compile_generated_files generate_file",
@@ -52,7 +54,9 @@ DECLARED: dict[str, str] = {
     "document_body": "markup", "document_raw": "markup",
 }
 #: Roles that only occur inside a proof; any other one ends a proof that was left open.
-INSIDE = frozenset(("inner_goal", "step", "open", "close", "abandon", "diag", "markup"))
+INSIDE = frozenset(("inner_goal", "step", "open", "close", "abandon", "diag", "markup", "inner_program"))
+#: Roles without a cursor stop in commands mode: document text and program code.
+NOT_PROBED = frozenset(("markup", "program", "inner_program"))
 STOPS = (
     "array<struct<seq:int,command:string,kind:string,start:int,end:int,line:int,character:int,proof_id:int,depth:int,"
     "in_proof:boolean,proof_start:int,proof_end:int>>"
@@ -192,7 +196,7 @@ def segment(text: str | None, mode: str = "commands", extra: dict[str, str] | No
         starts = [f[2] for f in found]
         stops = [(m.start(), m.end(), bisect_right(starts, m.start()) - 1) for m in re.finditer(r"\S+", text)]
     else:
-        stops = [(f[2], f[3], i) for i, f in enumerate(found) if f[1] != "markup"]
+        stops = [(f[2], f[3], i) for i, f in enumerate(found) if f[1] not in NOT_PROBED]
     rows = []
     for seq, (start, end, i) in enumerate(stops):
         word, role = found[i][:2] if i >= 0 else (None, None)

@@ -43,10 +43,21 @@ def sessions(df: DataFrame, by: Sequence[str], ts: str, gap: str, tie: str) -> D
 
 
 def responses(requests: DataFrame, replies: DataFrame, key: str, ts: str, within: str) -> DataFrame:
-    """Requests with the replies of the same ``key`` no later than ``within``; reply columns get ``reply_``."""
+    """Requests with the replies of the same ``key`` no later than ``within``; reply columns get ``reply_``.
+
+    Time is cut into buckets no shorter than ``within``: a reply lies in its
+    request's bucket or the next one, so a busy key is compared bucket by
+    bucket, not as a whole.
+    """
+    end = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {within}"))
+    moved = 3_600_000_000 if "timestamp_ntz" in (dict(requests.dtypes)[ts], dict(replies.dtypes)[ts]) else 0  # by clock changes
+    width = F.greatest(end * 1.1, F.lit(1.0)) + moved  # months differ in length
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / width)
     renamed = replies.select(F.col(key), *[F.col(c).alias(f"reply_{c}") for c in replies.columns if c != key])
+    renamed = renamed.withColumn("__bucket", bucket(f"reply_{ts}"))
+    asked = requests.withColumn("__bucket", F.explode(F.array(bucket(ts), bucket(ts) + 1)))
     lag = (F.col(f"reply_{ts}") >= F.col(ts)) & (F.col(f"reply_{ts}") <= F.col(ts) + F.expr(f"interval {within}"))
-    return requests.join(renamed, key).where(lag)
+    return asked.join(renamed, [key, "__bucket"]).where(lag).drop("__bucket")
 
 
 def last_per_stop(df: DataFrame, by: Sequence[str], ts: str, value: str) -> DataFrame:

@@ -20,11 +20,18 @@ def transitions(steps: DataFrame, group: Sequence[str], order: str, state: str,
 
 
 def prefixes(steps: DataFrame, group: Sequence[str], order: str, text: str, sep: str = "") -> DataFrame:
-    """Adds ``prefix`` (texts up to this step) and ``continuation`` (texts after it, '' at the end)."""
+    """Adds ``prefix`` (texts up to this step) and ``continuation`` (texts after it, '' at the end).
+
+    The texts of a group are gathered once; each step cuts its parts out by
+    how many texts (NULL ones don't count) stand up to it.
+    """
     w = Window.partitionBy(*group).orderBy(order)
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    join = lambda f: F.array_join(F.collect_list(text).over(f), sep)
-    return steps.withColumns({"prefix": join(upto), "continuation": join(after)})
+    every = F.collect_list(text).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    upto = F.count(text).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    out = steps.withColumns({"__every": every, "__upto": upto})
+    part = lambda start, n: F.array_join(F.slice("__every", start, n), sep)
+    cut = {"prefix": part(F.lit(1), F.col("__upto")), "continuation": part(F.col("__upto") + 1, F.size("__every"))}
+    return out.withColumns(cut).drop("__every", "__upto")
 
 
 def slices(steps: DataFrame, text: str = "text", offset: str = "offset", start: str = "proof_start", end: str = "proof_end", scope: str = "proof") -> DataFrame:

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from stepforge.functions import text
-from stepforge.operators import audit, correlate, dedup, lookup, select
+from stepforge.operators import audit, correlate, dedup, lookup, proofs, select
 from stepforge.plans import harvest
 from stepforge.sources import corpus
 
@@ -66,10 +66,20 @@ def test_as_of_and_responses(spark):
     near = {r.id: r.matched_x for r in correlate.as_of(left, right.where("x = 'a'"), ["k"], "ts", ["x"], "2 seconds").collect()}
     assert near == {1: None, 2: None, 3: None}
     assert [(r.id, r.reply_x) for r in correlate.responses(left, right, "k", "ts", "4 seconds").orderBy("id", "reply_x").collect()] == [(1, "b"), (2, "a"), (2, "b"), (3, "c")]
+    asked, told = ([(f"u{i % 2}", at(i * step), i) for i in range(60)] for step in (7, 5))
+    want = sorted((i, j) for k, s, i in asked for o, e, j in told if k == o and s <= e <= s + timedelta(seconds=10))
+    kept = correlate.responses(spark.createDataFrame(asked, "k string, ts timestamp, id int"), spark.createDataFrame(told, "k string, ts timestamp, id int"), "k", "ts", "10 seconds")
+    assert sorted((r.id, r.reply_id) for r in kept.collect()) == want and kept.columns == ["k", "ts", "id", "reply_ts", "reply_id"]
     flagged = correlate.sessions(right, ["k"], "ts", "2 seconds", "x")
     assert sorted((r.x, r.session) for r in flagged.collect()) == [("a", 1), ("b", 2), ("c", 1)]
 
 
+def test_prefixes(spark):
+    steps = spark.createDataFrame([("g", 1, None), ("g", 2, "a"), ("g", 3, None), ("g", 4, "b"), ("h", 1, "c")], "g string, n int, x string")
+    got = {(r.g, r.n): (r.prefix, r.continuation) for r in proofs.prefixes(steps, ["g"], "n", "x", "-").collect()}
+    assert got == {("g", 1): ("", "a-b"), ("g", 2): ("a", "b"), ("g", 3): ("a", "b"), ("g", 4): ("a-b", ""), ("h", 1): ("c", "")}
+
+
 def test_chains(spark):
     rows = [(f"s{i}", f"s{i + 1}") for i in range(20)] + [("s20", "HOL"), ("x", "HOL"), ("top", None)]
     got = {r.k: (r.root, r.depth) for r in lookup.chains(spark.createDataFrame(rows, "k string, p string"), "k", "p").collect()}

@@ -147,3 +147,10 @@ def test_sessions_frame(spark):
     df = roots.sessions(spark.createDataFrame([("/a/Entry/ROOT", ROOT)], "path string, text string"))
     assert [(r.entry, r.session) for r in df.orderBy("session").collect()] == [("Entry", "A_B"), ("Entry", "Two")]
     assert re.match("A_B", df.where("parent = 'HOL-Library'").first().session)
+
+
+def test_program_code_is_no_stop():
+    source = "theory P imports Main begin\nML \\<open>val a = 1\\<close>\nML_file \"p.ML\"\nlemma q: \"B\"\n  ML_prf \\<open>val b = 2\\<close>\n  by blast\nend"
+    stops = segment.segment(source)
+    assert [s["command"] for s in stops] == ["theory", "imports", "begin", "lemma", "by", "end"]
+    assert [s["command"] for s in stops if s["in_proof"]] == ["lemma", "by"]
