@@ -20,6 +20,9 @@ STATE_INIT, STATE_OUTPUT, STATE_UPDATE, DYNAMIC_OUTPUT, CARET = (
     "PIDE/state_init", "PIDE/state_output", "PIDE/state_update", "PIDE/dynamic_output", "PIDE/caret_update",
 )
 
+#: The time of the state's caret where there is none.
+NO_CARET = -1
+
 
 def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A message log in JSON lines, as a table or as a stream of its files."""
@@ -72,40 +75,58 @@ def quiet_sessions(messages: DataFrame, quiet: str = "350 milliseconds", late: s
     return out.select("doc", F.col("w.start").alias("first_ts"), F.col("w.end").alias("quiet_ts"), "n_messages", "content")
 
 
-def settled_panels(log: DataFrame, settle_ms: int = 2000) -> DataFrame:
+def settled_panels(log: DataFrame, settle_ms: int = 2000, only_active: bool = True) -> DataFrame:
     """Stream form of ``panels_at_carets``: one row per caret once the next caret comes or it has settled.
 
-    Per document the state is one open caret and its last output. It settles
-    ``settle_ms`` of event time after the move, when the watermark passes.
+    Per document the state is one open caret with its last output, and the ids
+    of its panels: those asked for and those that a reply made active. At one
+    time replies come before carets and carets before outputs. An output that
+    comes before its panel's reply doesn't count. A caret settles ``settle_ms``
+    of event time after the move, when the watermark passes.
     """
-    p = F.from_json("params", "line int, character int, content string")
-    rows = log.where(F.col("method").isin(CARET, STATE_OUTPUT)).withWatermark("ts", f"{settle_ms} milliseconds")
-    rows = rows.select("doc", "ts", (F.col("method") == CARET).alias("is_move"), p["line"].alias("line"), p["character"].alias("character"), p["content"].alias("content"))
+    p = F.from_json("params", "line int, character int, content string, id string, state_id string")
+    asks = (F.col("method") == STATE_INIT) & (F.col("direction") == "out")
+    kind = F.when(asks, 0).when(F.col("direction") == "reply", 1).when(F.col("method") == CARET, 2).when(F.col("method") == STATE_OUTPUT, 3)
+    rows = log.withColumn("kind", kind).where("kind is not null").withWatermark("ts", f"{settle_ms} milliseconds")
+    number = F.when(F.col("kind") == 3, p["id"]).otherwise(F.col("id").cast("string"))
+    rows = rows.select(
+        "doc", "ts", "kind", number.alias("number"), p["state_id"].alias("panel"), p["line"].alias("line"), p["character"].alias("character"),
+        F.coalesce(p["content"], F.lit("")).alias("content"),
+    )
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done, now = [], list(state.get) if state.exists else None
+        done = []
+        *now, asked, active = state.get if state.exists else (NO_CARET, 0, 0, None, 0, "", "")
+        asked, active = set(asked.split()), set(active.split())
 
         def close() -> None:
-            done.append((key[0], pd.Timestamp(now[0], unit="us"), now[1], now[2], now[3], now[4]))
+            if now[0] != NO_CARET:
+                done.append((key[0], pd.Timestamp(now[0], unit="us"), *now[1:]))
+            now[:] = [NO_CARET, 0, 0, None, 0]
 
         if state.hasTimedOut:
             close()
-            state.remove()
         else:
-            frame = pd.concat(list(batches)).sort_values(["ts", "is_move"], kind="stable")
+            frame = pd.concat(list(batches)).sort_values(["ts", "kind"], kind="stable")
             for r in frame.itertuples():
-                if r.is_move:
-                    if now:
-                        close()
-                    now = [int(r.ts.value // 1000), int(r.line), int(r.character), None, 0]
-                elif now:
-                    now[3], now[4] = r.content, now[4] + 1
-            if now:
-                state.update(tuple(now))
-                state.setTimeoutTimestamp(max(now[0] // 1000 + settle_ms, state.getCurrentWatermarkMs() + 1))
+                if r.kind == 0:
+                    asked.add(r.number)
+                elif r.kind == 1 and r.number in asked:
+                    if not isinstance(r.panel, str):
+                        raise ValueError("no state_id in a reply")
+                    asked.discard(r.number)
+                    active.add(r.panel)
+                elif r.kind == 2:
+                    close()
+                    now[:] = [int(r.ts.value // 1000), int(r.line), int(r.character), None, 0]
+                elif r.kind == 3 and now[0] != NO_CARET and (not only_active or r.number in active):
+                    now[3:] = [r.content, now[4] + 1]
+        state.update((*now, " ".join(sorted(asked)), " ".join(sorted(active))))
+        if now[0] != NO_CARET:
+            state.setTimeoutTimestamp(max(now[0] // 1000 + settle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["doc", "ts", "line", "character", "content", "n_outputs"])
 
     return rows.groupBy("doc").applyInPandasWithState(
         fold, "doc string, ts timestamp, line int, character int, content string, n_outputs int",
-        "ts long, line int, character int, content string, n int", "append", "EventTimeTimeout",
+        "ts long, line int, character int, content string, n int, asked string, active string", "append", "EventTimeTimeout",
     )

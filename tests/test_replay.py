@@ -46,10 +46,22 @@ def run(spark, stream, name):
     return spark.table(name)
 
 
-def test_settled_panels_stream(spark, tmp_path):
+def settled(spark, tmp_path, name, **options):
     path = written(tmp_path)
     later = {"ts": "2024-01-01T00:01:00Z", "doc": "z", "direction": "out", "method": replay.CARET, "params": '{"line":1,"character":1}'}
     (tmp_path / "log/b.json").write_text(json.dumps(later))
-    stream = replay.settled_panels(replay.read_log(spark, path, stream=True))
-    got = [(r.line, r.content, r.n_outputs) for r in run(spark, stream, "settled").orderBy("ts").collect() if r.doc == "d"]
-    assert got == [(3, "other panel", 3), (4, None, 0), (5, "third", 1)]
+    stream = replay.settled_panels(replay.read_log(spark, path, stream=True), **options)
+    rows = run(spark, stream, name).where("doc = 'd'").orderBy("ts").collect()
+    batch = replay.panels_at_carets(replay.read_log(spark, path), **options).where("doc = 'd'").orderBy("ts").collect()
+    cut = lambda rows: [(r.ts, r.line, r.character, r.content, r.n_outputs) for r in rows]
+    return cut(rows), cut(batch)
+
+
+def test_settled_panels_stream(spark, tmp_path):
+    stream, batch = settled(spark, tmp_path, "settled")
+    assert stream == batch and [r[3:] for r in stream] == [("second", 2), (None, 0), ("third", 1)]
+
+
+def test_settled_panels_of_all_states(spark, tmp_path):
+    stream, batch = settled(spark, tmp_path, "settled_all", only_active=False)
+    assert stream == batch and [r[3:] for r in stream] == [("other panel", 3), (None, 0), ("third", 1)]
