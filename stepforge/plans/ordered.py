@@ -50,7 +50,7 @@ def tainted_proof_filter(spark, sf_dir):
 
 
 def alignment_pct(spark, sf_dir):
-    steps = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").distinct()
+    steps = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     steps = steps.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("state_before"), F.max("l_returnflag").alias("state_after"))
     return proofs.alignment(steps, ["l_orderkey"], "l_linenumber", "state_before", "state_after")
 
