@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Known, Scratch, chunks, connected_components
+from stepforge.llm.common import Scratch, chunks, connected_components
 
-_WORD = re.compile(WORD_PATTERN)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Places of the ring (the universe that shingles are scattered over).
 RING = 1 << 18
-#: Bytes in which a worker remembers hashes of words.
-CACHE = 96 << 20
+#: Bytes whose words are hashed at once; a word is never cut.
+PIECE = 1 << 20
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -36,23 +37,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _hashes(piece: bytes) -> np.ndarray:
+    raw = np.frombuffer(piece, np.uint8)
+    at = np.flatnonzero(~_SPACE[raw])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    return _mix(np.add.reduceat(_mix((place.astype(np.uint64) << np.uint64(8)) + _LOWER[raw[at]] + _ODD1), first))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's words in ASCII lower case: the sum of a number for each byte at its place, mixed."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + PIECE)
+        to = gap.start() if gap else len(raw)
+        out.append(_hashes(raw[at:to]))
+        at = to
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 class Shingles:
     """Sorted 64-bit hashes of a text's distinct shingles."""
 
     def __init__(self, width: int):
         self.width = width
-        self.known = Known(lambda w: hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), CACHE)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.translate(_UPPER) if not text.islower() else text)
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.frombuffer(self.known.joined(words), "<u8")
-        n = min(self.width, len(words))
-        out = np.full(len(words) - n + 1, np.uint64(n))
+        h = word_hashes(text)
+        if not len(h):
+            return h
+        n = min(self.width, len(h))
+        out = np.full(len(h) - n + 1, np.uint64(n))
         for k in range(n):
             out = _mix(out * _ODD2 + h[k : k + len(out)])
-        return np.unique(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 class CirculantSignature:
@@ -68,7 +89,9 @@ class CirculantSignature:
         self.ranks = np.lib.stride_tricks.sliding_window_view(turned, size)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        places = np.unique(self.scatter[(shingles & np.uint64(RING - 1)).astype(np.int64)])
+        places = self.scatter[(shingles & np.uint64(RING - 1)).astype(np.int64)]
+        if len(places) > RING:
+            places = np.unique(places)
         out = np.full(self.size, RING, np.int32)
         for at in range(0, len(places), 2048):
             np.minimum(out, self.ranks[places[at : at + 2048]].min(axis=0), out=out)

@@ -10,12 +10,22 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space (bytes, UTF-8 safe).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: White space for ``str.split`` that stands inside words.
+_INSIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_WORD = re.compile(WORD_PATTERN)
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text, as ``WORD_PATTERN`` finds them."""
+    return _WORD.findall(text) if any(map(text.__contains__, _INSIDE)) else text.split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +86,18 @@ def chunks(batches: Iterator[pa.RecordBatch], *columns: str, rows: int = 512) ->
     release()
 
 
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = 4 << 20) -> Iterator[list[pa.Array]]:
+    """Some columns, as many rows at a time as their last one, of strings, has ``size`` bytes for, or one longer row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(columns[-1])), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+            part = batch.slice(at, to - at)
+            yield [part.column(c) for c in columns]
+            at = to
+
+
 def release() -> None:
     """Gives memory that is free, but kept by the allocators, back to the system."""
     gc.collect()

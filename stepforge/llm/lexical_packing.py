@@ -10,6 +10,7 @@ is cut into powers of two.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Known, Scratch, chunks
+from stepforge.llm.common import Known, Scratch, release, slices
 
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, by weight; neighbours that are ranked at once.
@@ -31,13 +33,13 @@ QUERY_TERMS, RANKED = 24, 32
 
 
 class WordTokens:
-    """Token ids of a text, as the ``tokenizers`` library gives them.
+    """Token ids of texts, as the ``tokenizers`` library gives them.
 
-    Texts of plain Latin letters, digits, ASCII signs and white space are cut
+    Its tokens never span white space, so each distinct word of some texts is
+    encoded once. Words of plain Latin letters, digits and ASCII signs are cut
     into the vocabulary's units here and go to the library's BPE model unit by
     unit, each one once while it is remembered. Normal forms and special tokens
-    don't occur in them. All other texts go word by word through the library's
-    whole pipeline; its tokens never span white space.
+    don't occur in them. All other words go through the library's whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -54,29 +56,66 @@ class WordTokens:
             split = split.replace(name, own)
         if "\\p" in split:
             raise ValueError("the vocabulary cuts texts in another way than this class knows")
-        self.units = re.compile(split).findall
-        self.plain = re.compile(f"[\x09-\x0D\x20{''.join(map(re.escape, plain))}]*").fullmatch
-        self.words = re.compile(WORD_PATTERN).findall
+        self.units = re.compile(f"\n|{split}").findall
+        self.plain = re.compile(f"[\n{''.join(map(re.escape, plain))}]*").fullmatch
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = str.maketrans({b: chr(256 + i) for i, b in enumerate(hidden)})
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.known, self.others = Known(self._unit, 128 << 20), Known(self._word, 32 << 20)
+        # one number more than the vocabulary has stands between words
+        self.inner = np.dtype("<u2" if self.size < 1 << 16 else "<u4")
+        self.known, self.others = Known(self._unit, 96 << 20), Known(self._word, 16 << 20)
 
     def _unit(self, unit: str) -> bytes:
+        if unit == "\n":
+            return array(self.inner.char, [self.size]).tobytes()
         shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.bytes)
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array(self.inner.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return array(self.dtype.char, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" not in text and self.plain(text):
-            found = self.known.joined(self.units(text.lower()))
-        else:
-            found = self.others.joined(self.words(text))
-        return np.frombuffer(found, self.dtype)
+        return array(self.inner.char, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _each(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (one a line) behind each other, with one number after each, and how many each word has."""
+        other = []
+        if "<|" in text or not self.plain(text):
+            words = text.split("\n")
+            other = [i for i, w in enumerate(words) if "<|" in w or not self.plain(w)]
+            more = [np.frombuffer(self.others[words[i]], self.inner) for i in other]
+            for i in other:
+                words[i] = ""
+            text = "\n".join(words)
+        ids = np.frombuffer(self.known.joined(self.units(text.lower() + "\n")), self.inner)
+        ends = np.flatnonzero(ids == self.size)
+        if other:
+            ids = np.insert(ids, np.repeat(ends[other], [len(x) for x in more]), np.concatenate(more))
+            ends = np.flatnonzero(ids == self.size)
+        return ids, np.diff(ends, prepend=-1) - 1
+
+    def ids(self, texts: pa.Array, end_id: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, ``end_id`` after each, and where each text ends."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        every = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+        each, size = self._each(pc.binary_join(every, "\n")[0].as_py())
+        start = np.cumsum(size + 1) - size - 1
+        each, size, start = np.append(each, np.array([end_id], self.inner)), np.append(size, 1), np.append(start, len(each))
+        ends = lists.offsets.to_numpy()[1:]
+        which = np.insert(words.indices.to_numpy(), ends, len(size) - 1)
+        upto = np.cumsum(size[which])
+        out = np.empty(upto[-1], self.dtype)
+        for at in range(0, len(which), block):
+            w = which[at : at + block]
+            n, done = size[w], upto[at - 1] if at else 0
+            out[done : upto[at + len(w) - 1]] = each[np.repeat(start[w] - (upto[at : at + block] - n - done), n) + np.arange(n.sum())]
+        return out, upto[ends + np.arange(len(ends))]
+
+
+@functools.lru_cache(1)
+def word_tokens(path: str) -> WordTokens:
+    """A worker keeps the vocabulary, and what is remembered, for its next tasks."""
+    return WordTokens(path)
 
 
 UNIT = "unit long, doc_id long, start long, length long, doc_tokens long, key1 int, key2 int, ids binary"
@@ -92,20 +131,25 @@ def tokenised(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         first, n, holding = TaskContext.get().partitionId() << 32, 0, np.zeros(tokens.size, np.int64)
-        for docs, bodies in chunks(batches, "doc_id", "text"):
-            rows = []
-            for doc, body in zip(docs, bodies):
-                ids = np.append(tokens.ids(body), np.array([end_id], tokens.dtype))
-                for at in range(0, len(ids), window):
-                    part = ids[at : at + window]
-                    terms = np.unique(part)
+        present = np.zeros(tokens.size, bool)
+        for docs, bodies in slices(batches, "doc_id", "text"):
+            rows, begin = [], 0
+            ids, ends = tokens.ids(bodies, end_id)
+            for doc, end in zip(docs.to_pylist(), ends.tolist()):
+                for at in range(begin, end, window):
+                    part = ids[at : min(at + window, end)]
+                    present[part] = True
+                    terms = np.flatnonzero(present)
+                    present[terms] = False
                     holding[terms] += 1
                     low = int(terms[-2]) if len(terms) > 1 else 0
-                    rows.append((first + n, doc, at, len(part), len(ids), int(terms[-1]), low, part.tobytes()))
+                    rows.append((first + n, doc, at - begin, len(part), end - begin, int(terms[-1]), low, part.tobytes()))
                     n += 1
+                begin = end
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
+        release()
         terms = np.flatnonzero(holding)
         count = {"start": pa.array(terms), "length": pa.array(holding[terms])}
         yield pa.RecordBatch.from_arrays([count.get(c, pa.nulls(len(terms), t)) for c, t in zip(columns, types)], columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.llm.common import WORD_PATTERN, Known, release
+from stepforge.llm.common import WORD_PATTERN, Known, release, split_words
 
 
 @dataclass(frozen=True)
@@ -81,17 +81,15 @@ def main_script(text: str) -> str:
     return best if found[best] else "Other"
 
 
-def repeated_words(words: list[str]) -> int:
-    """Words inside 3-word windows that occur at least twice in the text."""
-    n = len(words)
+def repeated_words(a: np.ndarray, distinct: int) -> int:
+    """Words inside 3-word windows that occur at least twice in the text; ``a``: each word's number, below ``distinct``."""
+    n = len(a)
     if n < 4:
         return 0
-    ids = dict(zip(dict.fromkeys(words), range(n)))
-    a = np.fromiter(map(ids.__getitem__, words), np.int64, n)
-    pair = a[:-1] * len(ids) + a[1:]
-    if len(ids) > 2_000_000:  # a third factor would not fit in 63 bits
+    pair = a[:-1] * distinct + a[1:]
+    if distinct > 2_000_000:  # a third factor would not fit in 63 bits
         pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    window = pair[:-1] * len(ids) + a[2:]
+    window = pair[:-1] * distinct + a[2:]
     order = np.argsort(window, kind="stable")
     same = window[order[1:]] == window[order[:-1]]
     if not same.any():
@@ -122,27 +120,36 @@ class _Tokens:
         self.known: dict[str, bytes] = {}
         self.taken = 0
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        if new := list(set(words).difference(self.known)):
+    def counts(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """How often each token occurs in distinct words that occur so many times each."""
+        found = list(map(self.known.get, words))
+        if new := [w for w, x in zip(words, found) if x is None]:
             if self.taken > CACHE:
                 self.known.clear()
-                self.taken, new = 0, list(set(words))
-            found = [array("H", x).tobytes() for x in self.model.encode(new, num_threads=1)]
-            self.known.update(zip(new, found))
-            self.taken += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, found)) + Known.ENTRY * len(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint16)
+                self.taken = 0
+            more = [array("H", x).tobytes() for x in self.model.encode(new, num_threads=1)]
+            self.known.update(zip(new, more))
+            self.taken += sum(map(sys.getsizeof, new)) + sum(map(sys.getsizeof, more)) + Known.ENTRY * len(new)
+            rest = iter(more)
+            found = [next(rest) if x is None else x for x in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        return np.bincount(np.frombuffer(b"".join(found), np.uint16), np.repeat(times, size))
 
 
 def measure(text: str, lang: str | None, tokens: _Tokens, bands: dict[str, Band], min_words: int, max_repeat: int):
-    words = _WORD.findall(text)
-    n, chars = len(words), sum(map(len, words))
-    n_repeat = repeated_words(words)
+    words = split_words(text)
+    n = len(words)
+    number = dict(zip(dict.fromkeys(words), range(n)))
+    distinct = list(number)
+    place = np.fromiter(map(number.__getitem__, words), np.int64, n)
+    times = np.bincount(place, minlength=len(distinct))
+    chars = int(times @ np.fromiter(map(len, distinct), np.int64, len(distinct)))
+    n_repeat = repeated_words(place, len(distinct))
     base_failed = n < min_words or 100 * n_repeat > max_repeat * n
-    ids = tokens.ids(words)
-    n_tokens = len(ids)
-    counts = np.bincount(ids)
+    counts = tokens.counts(distinct, times)
+    n_tokens = int(counts.sum())
     fallback = int(counts[tokens.is_byte[: len(counts)]].sum()) if n_tokens else 0
-    counts = counts[counts > 0].astype(float)
+    counts = counts[counts > 0]
     entropy = max(0.0, float(np.log2(n_tokens) - (counts * np.log2(counts)).sum() / n_tokens)) if n_tokens else 0.0
     per_token, share = (chars / n_tokens, fallback / n_tokens) if n_tokens else (0.0, 0.0)
     script = None

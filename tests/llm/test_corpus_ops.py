@@ -6,11 +6,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stepforge.llm import circulant_minhash, cover_tree, lexical_packing, line_dedup, repeated_passages, source_mix
-from stepforge.llm.common import Scratch, connected_components
+from stepforge.llm.common import Scratch, connected_components, slices
 from stepforge.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,6 +147,36 @@ def test_packing(spark, texts):
     assert lexical_packing.lexical_packing(frame(spark, rows).limit(0), path).count() == 0
 
 
+def test_packing_cuts_words_once():
+    path = vocabulary("word_bpe_49k.json")
+    tokens, seen = lexical_packing.WordTokens(path), []
+    units = tokens.units
+    tokens.units = lambda text: seen.append(len(text)) or units(text)
+    texts = ["Don't\tsay 'twas, Été 12ab! " * 500, "", " \x0b", "a\x1cb x\xa0y \u4e00\u4e8c <|endoftext|> say " * 300, "x\x85y z", "say"]
+    ids, ends = tokens.ids(pa.array(texts), 2, block=100)
+    assert sum(seen) < 200  # it was given whole texts
+    want = [[*tokens.tokenizer.encode(" ".join(WORD.findall(t)), add_special_tokens=False).ids, 2] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == want
+    assert lexical_packing.word_tokens(path) is lexical_packing.word_tokens(path)
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 9, "b", None, "c" * 30, "", "d" * 5])], ["n", "text"])
+    assert [x.to_pylist() for x, _ in slices([batch, batch.slice(0, 0)], "n", "text", size=10)] == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_word_hashes(texts, monkeypatch):
+    seen = {}
+    for t in ["A\x1cb a\x1cB \x00 \x00\x00 ab ba É é", *(t or "" for _, t in texts)]:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        found = circulant_minhash.word_hashes(t).tolist()
+        assert len(found) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, found))
+        with monkeypatch.context() as patch:
+            patch.setattr(circulant_minhash, "PIECE", 7)
+            assert circulant_minhash.word_hashes(t).tolist() == found
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_packing_prefers_neighbours():
     ids = [np.array([1, 2, 3, 50 + k, 60 + k] * 4) for k in (0, 5, 0, 5, 0)]
     shard = lexical_packing.Shard(ids, np.ones(100, np.float32), 20.0)
