@@ -1,5 +1,8 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from stepforge.functions import panel
 from stepforge.functions.panel import panel_parse, panel_text, parse_panel
 
 #: Inputs with the text and spans that the rules of panels give.
@@ -35,3 +38,23 @@ def test_columns(spark):
     rows = df.select("i", panel_text("html").alias("t"), panel_parse("html").alias("p")).orderBy("i").collect()
     assert [r.t for r in rows] == [v[1] for v in VECTORS]
     assert [[tuple(s) for s in r.p.spans] for r in rows] == [v[2] for v in VECTORS]
+
+
+def test_portions():
+    batches = [pa.array(["ab", None, "c", "defgh", "", "ü"]), pa.array([], pa.string()), pa.array(["i"])[:1], pa.array(["x", "jk", "l", "y"])[1:3]]
+    assert list(panel.portions(iter(batches), 3)) == [["ab", None, "c"], ["defgh"], ["", "ü"], ["i"], ["jk", "l"]]
+
+
+def test_batch_in_portions():
+    """A worker gives what it has of a batch before it parses the rest, so memory doesn't grow with the batch."""
+    html = "<b class='k'>a</b><!--" + "x" * panel.PORTION + "-->"
+    for take, want in ((panel.texts, "a"), (panel.parsed, {"text": "a", "spans": [{"start": 0, "end": 1, "kind": "k"}]})):
+        assert [a.to_pylist() for a in take(iter([pa.array([html] * 3 + [None])]))][:3] == [[want]] * 3
+
+
+def test_many_batches(spark):
+    """Rows keep their order where a partition has several batches, of several portions each."""
+    html = F.concat(F.lit("<b class='k'>"), F.col("id").cast("string"), F.lit("</b><!--"), F.repeat(F.lit("x"), 100), F.lit("-->"))
+    got = spark.range(25_000, numPartitions=1).select("id", panel_text(html).alias("t"), panel_parse(html).alias("p"))
+    wrong = got.where("t <> id or p.text <> id or size(p.spans) <> 1 or p.spans[0].end <> length(t)")
+    assert got.count() == 25_000 and wrong.count() == 0
